@@ -6,6 +6,11 @@ stand under many URLs of the site are taken out.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +30,40 @@ def mask(line: Column) -> Column:
     return F.regexp_replace(low, rf"(?:0 )?\b(?:{MONTHS})\b(?:,? 0)?", "D")
 
 
-def shingles(text: Column) -> Column:
-    """Hashes of each five words running; of the whole text where it has fewer."""
-    words = F.split(text, " ")
-    n = F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.array_join(F.slice(words, i, SHINGLE), " "))))
-
-
-def bands(grams: Column) -> Column:
-    """Locality-sensitive hashes: ``BANDS`` of ``ROWS`` minima each."""
-    least = lambda k: F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(k))))
-    return F.array(*[F.xxhash64(F.lit(b), *[least(b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+_KEYED = "h1 long, h2 long, n_urls long, n_rows long, grams array<long>, buckets array<long>"
+_ODD = np.array([2 * k * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF | 1 for k in range(1, BANDS * ROWS + 1)], np.uint64)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of each five words running (of all words where there are fewer), and of bands of their minima by site."""
+    powers = np.array([pow(0x100000001B3, k, 1 << 64) for k in range(SHINGLE)], np.uint64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        words = [t.split(" ") for t in batch.column(5).to_pylist()]
+        n = np.array([len(w) for w in words])
+        at = np.concatenate([[0], np.cumsum(n)])
+        flat = np.fromiter((zlib.crc32(w.encode()) for ws in words for w in ws), np.uint64, at[-1])
+        flat = np.concatenate([flat + np.uint64(1), np.zeros(SHINGLE, np.uint64)])
+        rolled = sum(flat[k : k + at[-1]] * powers[k] for k in range(SHINGLE))  # runs past a text's end are left out below
+        for i in np.flatnonzero(n < SHINGLE):
+            rolled[at[i]] = (flat[at[i] : at[i + 1]] * powers[: n[i]]).sum(dtype=np.uint64)
+        count = np.maximum(n - SHINGLE + 1, 1)
+        keep = np.arange(at[-1]) - np.repeat(at[:-1], n) < np.repeat(count, n)
+        grams = rolled[keep]
+        grams ^= grams >> np.uint64(29)
+        start = np.concatenate([[0], np.cumsum(count)])
+        minima = np.stack([np.minimum.reduceat((m := grams * odd) ^ (m >> np.uint64(32)), start[:-1]) for odd in _ODD])
+        site = batch.column(4).to_numpy().astype(np.uint64)
+        buckets = np.empty((batch.num_rows, BANDS), np.uint64)
+        for b in range(BANDS):
+            h = site + np.uint64(b + 1)
+            for r in range(ROWS):
+                h = (h ^ minima[b * ROWS + r]) * np.uint64(0xFF51AFD7ED558CCD)
+                h ^= h >> np.uint64(33)
+            buckets[:, b] = h
+        lists = lambda v, o: pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists(grams, start), lists(buckets.ravel(), np.arange(0, BANDS * batch.num_rows + 1, BANDS))], ["h1", "h2", "n_urls", "n_rows", "grams", "buckets"])
 
 
 def site_lines(chunks: DataFrame) -> DataFrame:
@@ -49,42 +77,49 @@ def site_lines(chunks: DataFrame) -> DataFrame:
 
 
 def line_types(lines: DataFrame) -> DataFrame:
-    """One row per different line of a site, with the number of URLs it stands under and of its places."""
-    per_url = lines.groupBy("h1", "h2", F.xxhash64("url").alias("_u")).agg(F.count(F.lit(1)).alias("n"), F.first("site").alias("site"), F.first("line").alias("line"))
-    return per_url.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_urls"), F.sum("n").alias("n_rows"), F.first("site").alias("site"), F.first("line").alias("line"))
+    """One row per different line of a site: its URLs, its places, its site's hash and the masked line.
 
+    URLs are counted over hashes alone; the text of each line goes through one shuffle, by itself.
+    """
+    per_url = lines.groupBy("h1", "h2", F.xxhash64("url").alias("_u")).agg(F.count(F.lit(1)).alias("n"))
+    counts = per_url.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_urls"), F.sum("n").alias("n_rows"))
+    texts = lines.groupBy("h1", "h2").agg(F.min(F.struct("line", "site")).alias("t"))
+    return counts.join(texts, ["h1", "h2"]).select("h1", "h2", "n_urls", "n_rows", F.xxhash64("t.site").alias("site"), mask(F.col("t.line")).alias("masked"))
 
-def repeated_clusters(types: DataFrame, min_urls: int = 5) -> DataFrame:
-    """Lines of clusters that may stand under ``min_urls`` URLs or more: ``h1, h2, n_urls, n_rows, bucket, leader, cluster_urls``.
 
-    A cluster is a bucket of a band; its leader is the line under most URLs, and members have 0.8 or more of their
-    shingles with it in common. ``cluster_urls`` is the sum over the members, no less than the number of their URLs.
-    """
-    keyed = types.withColumn("grams", shingles(mask(F.col("line")))).withColumn("bucket", F.explode(F.transform(bands(F.col("grams")), lambda b: F.xxhash64(b, F.col("site")))))
-    found = keyed.groupBy("bucket").agg(F.sum("n_urls").alias("cluster_urls"), F.count(F.lit(1)).alias("n_types"), F.max_by(F.struct("line", "grams"), F.struct("n_urls", "h1", "h2")).alias("leader")).filter(F.col("cluster_urls") >= min_urls)
-    members = skew_lookup(keyed.select("h1", "h2", "n_urls", "n_rows", "grams", "bucket"), found, "bucket", "n_types", F.col("h1"))
-    common = F.size(F.array_intersect("grams", "leader.grams"))
-    alike = common >= SIMILAR * (F.size("grams") + F.size("leader.grams") - common)
-    return members.filter(alike).select("h1", "h2", "n_urls", "n_rows", "bucket", F.col("leader.line").alias("leader"), "cluster_urls")
+def clustered(lines: DataFrame) -> DataFrame:
+    """The different lines of each site with their shingles and the buckets, four each, that cluster them."""
+    return materialize(line_types(lines).mapInArrow(_hashed, _KEYED), "p6-lines")
+
+
+def large_clusters(keyed: DataFrame, min_urls: int) -> DataFrame:
+    """``bucket, n_types``: buckets whose lines may together stand under ``min_urls`` URLs, each URL of a line counted."""
+    return materialize(keyed.select("n_urls", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("n_urls").alias("n"), F.count(F.lit(1)).alias("n_types")).filter(F.col("n") >= min_urls).drop("n"), "p6-buckets")
 
 
 def repeated_lines(lines: DataFrame, min_urls: int = 5, exact: bool = True) -> DataFrame:
     """``uid, line_no`` of each place of a repeated line.
 
-    With ``exact`` a line of a cluster counts if it itself stands under ``min_urls`` URLs of its site; else all lines of
-    a cluster that together stand under so many do.
+    With ``exact`` a line of a cluster counts if it itself stands under ``min_urls`` URLs of its site. Else all lines of
+    a cluster do that together stand under so many, where those belong together that have 0.8 or more of their
+    shingles in common with the line of the bucket that stands under most URLs.
     """
-    types = materialize(line_types(lines), "p6-types")
-    members = repeated_clusters(types, min_urls)
+    keyed = clustered(lines)
+    buckets = large_clusters(keyed, min_urls)
     if exact:
-        chosen = members.filter(F.col("n_urls") >= min_urls).groupBy("h1", "h2").agg(F.max("n_rows").alias("n_rows"))
+        own = keyed.filter(F.col("n_urls") >= min_urls).select("h1", "h2", "n_rows", F.explode("buckets").alias("bucket"))
+        chosen = skew_lookup(own, buckets, "bucket", "n_types", F.col("h1")).groupBy("h1", "h2").agg(F.max("n_rows").alias("n_rows"))
     else:
-        members = materialize(members, "p6-members")
+        narrow = keyed.select("h1", "h2", "n_urls", "n_rows", "grams", F.explode("buckets").alias("bucket"))
+        members = materialize(skew_lookup(narrow, buckets, "bucket", "n_types", F.col("h1")), "p6-members")
+        leaders = members.groupBy("bucket").agg(F.max_by("grams", F.struct("n_urls", "h1", "h2")).alias("leader"), F.count(F.lit(1)).alias("n_types"))
+        common = F.size(F.array_intersect("grams", "leader"))
+        alike = common >= SIMILAR * (F.size(F.array_union("grams", "leader")))
+        members = materialize(skew_lookup(members, materialize(leaders, "p6-leaders"), "bucket", "n_types", F.col("h1")).filter(alike).select("h1", "h2", "bucket", "n_rows"), "p6-alike")
         of_url = lines.select("h1", "h2", F.xxhash64("url").alias("_u")).distinct().withColumn("_k", F.xxhash64("h1", "h2"))
-        keys = members.select("bucket", F.xxhash64("h1", "h2").alias("_k"), "n_rows")
-        sets = keys.groupBy("_k").agg(F.collect_set("bucket").alias("buckets"), F.max("n_rows").alias("n_rows"))
-        large = skew_lookup(of_url, sets, "_k", "n_rows", F.col("_u")).select("_u", F.explode("buckets").alias("bucket")).distinct().groupBy("bucket").count().filter(F.col("count") >= min_urls)
-        chosen = members.join(large, "bucket", "left_semi").groupBy("h1", "h2").agg(F.max("n_rows").alias("n_rows"))
+        sets = members.groupBy(F.xxhash64("h1", "h2").alias("_k")).agg(F.collect_set("bucket").alias("buckets"), F.max("n_rows").alias("n_rows"))
+        full = skew_lookup(of_url, materialize(sets, "p6-sets"), "_k", "n_rows", F.col("_u")).select("_u", F.explode("buckets").alias("bucket")).distinct().groupBy("bucket").count().filter(F.col("count") >= min_urls)
+        chosen = members.join(full, "bucket", "left_semi").groupBy("h1", "h2").agg(F.max("n_rows").alias("n_rows"))
     chosen = materialize(chosen.select("h1", F.col("h2").alias("_h2"), "n_rows"), "p6-chosen")
     places = lines.select("uid", "line_no", "h1", "h2")
     return skew_lookup(places, chosen, "h1", "n_rows", F.struct("uid", "line_no")).filter("h2 = _h2").select("uid", "line_no").distinct()
