@@ -25,7 +25,7 @@ LAYERS = 4
 RUSSIAN = dict(zip("оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё", (110, 85, 80, 74, 67, 63, 55, 47, 45, 44, 35, 32, 30, 28, 26, 20, 19, 17, 17, 16, 16, 14, 12, 10, 9, 7, 6, 5, 4, 3, 3, 1, 1)))
 _HARD = set("�")
 _WORDS = re.compile(r"([ \t\r\f\v]+)")
-_FINE_SYMBOLS = set("·›»«—–’‘“”„‚…©®™°µ€£§×÷±²³¹½¼¾¡¿ªº•†‡‰‹ ′″№≤≥→←↑↓√∞≈≠∑⁻﻿​‌‍")
+_FINE_SYMBOLS = set("·›»«—–’‘“”„‚…©®™°µ€£§×÷±²³¹½¼¾¡¿ªº•†‡‰‹ ′″№→←↑↓⁻﻿​‌‍")
 _OPEN = set("“„‘«(‚")
 
 

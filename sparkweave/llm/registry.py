@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("p1_cooccurrence", "p2_names", "p3_encoding", "p4_frequency", "p6_site_lines", "p7_neighbours", "p8_tokenize", "p9_leaks", "p10_language")
+MODULES = ("p1_cooccurrence", "p2_names", "p3_encoding", "p4_frequency", "p5_boilerplate", "p6_site_lines", "p7_neighbours", "p8_tokenize", "p9_leaks", "p10_language")
 
 
 def _all(what: str) -> dict:
