@@ -46,8 +46,13 @@ def scrub(text: Column) -> Column:
 
     As in the reference a circumflexed a becomes an apostrophe and an em dash disappears. Null gives null.
     """
-    folded = F.translate(squash_lines(text), "“”‘’`â–", "\"\"''''-")
-    return to_ascii(F.replace(folded, F.lit("…"), F.lit("...")))
+
+    def fold(t: Column) -> Column:
+        quotes = F.translate(t, "“”‘’`â–", "\"\"''''-")
+        # most text is ASCII already; the long tables are for the rest alone
+        return F.when(t.rlike(r"[^\x00-\x7F]"), to_ascii(F.replace(quotes, F.lit("…"), F.lit("...")))).otherwise(F.translate(t, "`", "'"))
+
+    return F.transform(F.array(squash_lines(text)), fold)[0]
 
 
 def lemma_key(pos: Column, lemma: Column) -> Column:

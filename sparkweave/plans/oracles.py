@@ -50,15 +50,15 @@ from (select uid, max(struct_pack(url := url, text := text)) as c from text_chun
 join pages p on p.url = c.c.url
 """
 CTE["words"] = """
-select doc_seq, chunk_uid, sent_id, generate_subscripts(w, 1) - 1 as at, unnest(w) as word from (
+select doc_seq, chunk_uid, sent_id, generate_subscripts(w, 1) - 1 as place, unnest(w) as word from (
   select doc_seq, chunk_uid, sent_id, list_filter(string_split_regex(line, '[ \t\r\f]+'), lambda x: x <> '') as w from (
     select doc_seq, chunk_uid, generate_subscripts(l, 1) - 1 as sent_id, unnest(l) as line from (select *, string_split(text, chr(10)) as l from chunks)))
 """
-CTE["cores"] = f"select doc_seq, chunk_uid, sent_id, at, regexp_replace(word, {_q(EDGES)}, '', 'g') as text, row_number() over (partition by chunk_uid order by sent_id, at) - 1 as tok_i from words"
+CTE["cores"] = f"select doc_seq, chunk_uid, sent_id, place, regexp_replace(word, {_q(EDGES)}, '', 'g') as text, row_number() over (partition by chunk_uid order by sent_id, place) - 1 as tok_i from words"
 _POS = (
     f"case when text = '' then 'PUNCT' when lower(text) in {_in(PRONOUNS)} then 'PRON' "
     + " ".join(f"when lower(text) in {_in(ws)} then '{pos}'" for pos, ws in FUNCTION_WORDS.items())
-    + f" when regexp_matches(text, '^[0-9]') then 'NUM' when regexp_matches(text, '^\\p{{Lu}}') and at > 0 then 'PROPN' when regexp_matches(lower(text), {_q(ADJECTIVE)}) then 'ADJ' else 'NOUN' end"
+    + f" when regexp_matches(text, '^[0-9]') then 'NUM' when regexp_matches(text, '^\\p{{Lu}}') and place > 0 then 'PROPN' when regexp_matches(lower(text), {_q(ADJECTIVE)}) then 'ADJ' else 'NOUN' end"
 )
 CTE["tagged"] = f"select *, {_POS} as pos from cores"
 CTE["tokens"] = """
@@ -87,7 +87,7 @@ where chunk_uid is not null and span_start is not null and span_end is not null
 qualify row_number() over (partition by chunk_uid, span_start, span_end order by label is null, coalesce(loaded_at, timestamp '9999-12-31'), text, key, doc_seq) = 1
 """
 CTE["events"] = """
-select doc_seq, chunk_uid, 1 as phase, tok_i as a, 0 as b, key, text, pos, null as label from tokens where pos in ('NOUN', 'PROPN')
+select doc_seq, chunk_uid, 1 as phase, tok_i as a, 0 as b, key, text, pos, null::varchar as label from tokens where pos in ('NOUN', 'PROPN')
 union all select doc_seq, chunk_uid, case when label = 'NP' then 3 else 2 end, span_start, span_end, key, text, 'NP', label from ents where promoted
 """
 CTE["dictionary"] = """
