@@ -17,7 +17,7 @@ def site_of(url: Column) -> Column:
 
 def same_line(line: Column) -> Column:
     """Lower case, runs of space, tab and U+00A0 as one space, trimmed, runs of ASCII digits as ``0``."""
-    spaced = F.trim(F.regexp_replace(F.lower(line), "[ \t ]+", " "))
+    spaced = F.trim(F.regexp_replace(F.lower(line), "[ \t\u00a0]+", " "))
     return F.regexp_replace(spaced, "[0-9]+", "0")
 
 

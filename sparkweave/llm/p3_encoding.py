@@ -107,7 +107,7 @@ def cost(word: str) -> float:
         elif k == "g":
             total += 1 if before in "alcs" or after in "alcs" else 0
         elif k == "l":
-            if ch.isupper() and i and (word[i - 1].islower() and before in "al"):
+            if ch.isupper() and before in "al" and (word[i - 1].islower() or word[i + 1 : i + 2].islower()):
                 total += 1
             if run >= 3:
                 total += 1

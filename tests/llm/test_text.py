@@ -1,0 +1,127 @@
+"""Problems 3, 5, 8, 9 and 10: round trips, fixtures and held-out accuracy."""
+
+from __future__ import annotations
+
+import base64
+import random
+import unicodedata
+
+import pytest
+
+from sparkweave.llm import p3_encoding, p5_boilerplate, p8_tokenize, p9_leaks, p10_language
+
+CLEAN = [
+    "Die größere Mühle prüft die Müdigkeit", "L'infirmière révèle l'activité à jeun", "El señor acompaña la absorción, «según» él", "A equipa de investigação não muda o açúcar",
+    "Спокойный сон меняет уровень сахара", "ПРАВИЛА · КОНФИДЕНЦИАЛЬНОСТЬ", "“smaller leeks”, it’s said — 5 µg at 37 °C", "© 2021 Søren. Tous droits réservés. IMPRESSÃO", "plain ascii", "価格は 5 €", "Ähnlich Âge À Ó Í",
+]
+
+
+def test_clean_text_stays():
+    r = p3_encoding.Repair()
+    for t in CLEAN:
+        assert r.text(t) == (t, 0), t
+
+
+@pytest.mark.parametrize("legacy", ["cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "cp1254"])
+def test_round_trips(legacy):
+    r = p3_encoding.Repair()
+    for t in CLEAN[:5]:
+        try:
+            bad = t.encode().decode(legacy)
+        except UnicodeDecodeError:
+            continue
+        new, n = r.text(bad)
+        assert n and new == t, bad
+
+
+def test_nested_and_lost():
+    r = p3_encoding.Repair()
+    twice = "révèle".encode().decode("cp1252").encode().decode("cp1252")
+    assert r.text(twice)[0] == "révèle"
+    assert r.text("год: " + "Новая лаборатория меняет вкус".encode("koi8-r").decode("cp1251"))[0] == "год: Новая лаборатория меняет вкус"
+    assert r.text("Спокойный сон меняет вкус".encode("cp1251").decode("cp1252"))[0] == "Спокойный сон меняет вкус"
+    assert r.text("caf� au lait") == ("caf� au lait", 1)
+    assert r.text("") == ("", 0)
+
+
+def test_repaired_frame(spark):
+    df = spark.createDataFrame([(1, "cafÃ©"), (1, "cafÃ©"), (2, "café"), (3, None), (4, ""), (None, "fÃ¼r")], "uid long, text string").selectExpr("*", "'x' as id", "1 as n_garbled")
+    assert sorted((r.uid or 0, r.text) for r in p3_encoding.repaired(df.select("uid", "text").distinct(), "uid", "text").collect()) == [(0, "für"), (1, "café")]
+    assert p3_encoding.repaired(df.limit(0), "uid", "text").count() == 0
+
+
+def test_frames(spark):
+    page = ["Home | News | Contact", "By the Kelp desk", "How kelp and rye went along with sleep", "Cookies made of kelp were eaten.", "Method", "Share kelp with rye, and sleep soon follows.", "150 ml pickled pears",
+            "© 2020 Kelp. All rights reserved.", "Read more: Why rye slept on and on", "What rye can tell us about the sleep of kelp"]
+    assert p5_boilerplate.places(page, True) == [0, 1, 7, 8, 9]
+    assert p5_boilerplate.kind("Lea tambiÃ©n: algo") != p5_boilerplate.FRAME and p5_boilerplate.kind("Lea también: algo") == p5_boilerplate.FRAME
+    rows = [(i, f"http://kelp.example/{i}", "\n".join([f"zzz unknown strip {i}", *page[2:4], f"It was said {i} times that rye sleeps.", "zzq end strip"])) for i in range(6)]
+    rows += rows[:2] + [(50, None, "Menu\nIt is so."), (51, "http://kelp.example/z", None), (None, "u", "Menu"), (52, "http://kelp.example/y", "")]
+    df = spark.createDataFrame(rows, "uid long, url string, text string").selectExpr("*", "'x' as site", "1 as line_no").select("uid", "url", "text")
+    got = {tuple(r) for r in p5_boilerplate.boilerplate(df).collect()}
+    assert (50, 0) in got and all((i, 4) in got and (i, 3) not in got for i in range(6))
+    w = p5_boilerplate.wrappers(df.filter("text is not null and uid is not null")).collect()
+    assert [r.pages for r in w] == [7] and "zzq end strip" in w[0].tokens
+    assert p5_boilerplate.boilerplate(df.limit(0)).count() == 0
+
+
+def _encoding():
+    tiktoken = pytest.importorskip("tiktoken")
+    with open(f"{p8_tokenize.TOKENIZERS}/{p8_tokenize.VOCABULARY}", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=p8_tokenize.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_tokens(spark):
+    enc, rng = _encoding(), random.Random(5)
+    texts = ["", " ", "\n\n \t", "Hello  world's end…", "<|endoftext|> is text", "寒い季節に、静かな", "👩‍🔬 ½ ⅓", "aaaa" * 40, "１２３ ٣ x²", "é​﻿ ü", "x\x1c\x85y  z "]
+    letters = "ab Zé·'’ts\n\t0９寒Я😀_- "
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(150)]
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (0, "")], "doc_id long, text string").selectExpr("*", "1 as word", "2 as ids")
+    rows = p8_tokenize.token_ids(df, "doc_id", "text")
+    got = {r.doc_id: r.ids for r in rows.collect()}
+    assert got.pop(900) == [] and got == {i: enc.encode_ordinary(t) for i, t in enumerate(texts)}
+    back = {r.doc_id: r.text for r in p8_tokenize.decode_ids(rows, "ids").collect()}
+    assert all(back[i] == t for i, t in enumerate(texts))
+    assert p8_tokenize.token_ids(df.limit(0), "doc_id", "text").count() == 0
+
+
+ITEMS = [(i, f"Question {i}: in the {n} kitchens, how much {a} {b} did each of the {i + 90} households keep back for the {c}? Answer: {i + 7} grams, because {c} came before {d} and the cook of {n} trusted no {b}.")
+         for i, (n, a, b, c, d) in enumerate([("Varvim", "modest", "barley", "sample", "tinnitus"), ("Famles", "rural", "squash", "ward", "glaucoma"), ("Kotbuv", "early", "lentil", "fiddle", "marrow")])]
+
+
+def test_leaks(spark):
+    pad = "The weather stayed as it was and nobody thought much of it at the time of the year. "
+    a, b = ITEMS[0][1], ITEMS[1][1]
+    docs = [(1, pad + a), (2, pad * 3 + a.upper().replace(" ", "\n").replace(",", "")), (3, a.replace("modest", "steady").replace("each", "any")), (4, pad + " ".join(b.split()[8:22]) + ". " + pad), (5, pad + " ".join(b.split()[8:15])),
+            (6, a.replace("Varvim", "Other").replace("barley", "oats").replace("modest", "calm").replace("sample", "trip").replace("tinnitus", "rust").replace("90", "12").replace("7", "3")), (7, None), (8, ""), (1, pad + a), (9, a.split("? ")[0] + "? " + pad + a.split("? ")[1])]
+    d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item")
+    i = spark.createDataFrame([*ITEMS, ITEMS[0], (70, None), (71, " ")], "item_id long, text string")
+    got = sorted(tuple(r) for r in p9_leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect())
+    assert got == [(1, 0), (2, 0), (3, 0), (4, 1), (9, 0)]
+    assert p9_leaks.leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
+    assert p9_leaks.leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
+    plain = lambda t: unicodedata.normalize("NFKD", t)
+    assert p9_leaks.words_of("Café's—X") == [w for w in ["cafes", "x"]] and plain("é") != "é"
+
+
+LINES = {
+    "en": "The older group asked whether barley was linked to sleep {}|About half of the people said little about the evening meal {}|They logged what was eaten in the home kitchen {}",
+    "de": "Die ältere Gruppe prüft den Blutdruck am Morgen nach der Küche {}|Das Gemüse vom Markt verbessert den Schlaf auf dem Land {}|Der zweite Fragebogen erfasst die Ergebnisse {}",
+    "fr": "Le groupe le plus âgé décrit le goût des légumes à la campagne {}|La cantine du village ralentit la fatigue des bénévoles {}|Cette étude confirme les résultats déjà publiés {}",
+    "es": "El segundo cuestionario reduce el cansancio de los voluntarios {}|La harina de avena cambia la salud de los gemelos {}|El equipo de investigación explica el sabor {}",
+    "ru": "Старшая группа меняет вкус овощей вопреки ожиданиям {}|Второй опросник снижает уровень сахара {}|Соседняя пекарня улучшает аппетит после лечения {}",
+    "ja": "寒い季節に、高齢の参加者は静かに疲れを減らした{}|多くの場合、研究班はわずかに血糖を測った{}|夕食の前に、大麦の粉は食欲を支えた{}",
+}
+
+
+def test_languages(spark):
+    names = ["Anna", "Bruno", "Zoë", "Ivo", "Elif", "Noor", "Pavel", "Yuki"]
+    docs = [(n * 10 + k, "\n".join(x.format(names[(k + j) % 8]) for j, x in enumerate(t.split("|"))), lang) for n, (lang, t) in enumerate(LINES.items()) for k in range(8)]
+    swap = [(900, docs[0][1] + "\n" + docs[8][1].split("\n")[0] + "\n12 | 13", "EN-gb"), (901, docs[16][1], "German"), (902, docs[24][1], None), (903, None, "en"), (904, "1 2 3\n", "en"), (905, "", None), (906, docs[32][1], "xx"), (900, docs[0][1] + "\n" + docs[8][1].split("\n")[0] + "\n12 | 13", "EN-gb")]
+    df = spark.createDataFrame(docs + swap, "doc_id long, text string, lang string").selectExpr("*", "1 as line_no", "'q' as label")
+    rows = p10_language.languages(df, "doc_id", "text", "lang").filter("line_no >= 0 or not label_right").collect()
+    assert sorted((r.doc_id, r.line_no, r.lang) for r in rows) == [(900, 3, "de"), (901, -1, "fr"), (902, -1, "es"), (906, -1, "ru")]
+    assert p10_language.languages(df.limit(0), "doc_id", "text", "lang").count() == 0
+    code = p10_language.codewords()
+    assert min((code[i] != code[j]).sum() for i in range(9) for j in range(i)) >= 5
