@@ -60,6 +60,12 @@ def search(vectors: DataFrame, query: list[float], k: int = 10, id_col: str = "v
     return vectors.filter(F.size(vector) == len(query)).select(id_col, F.round(distance(F.col(vector), q), 6).alias("_distance")).orderBy("_distance", id_col).limit(k)
 
 
+def search_text(chunks: DataFrame, query: str, k: int = 10, id_col: str = "uid", vector: str = "vector") -> DataFrame:
+    """The ``k`` chunks nearest to a text, which is embedded as the chunks were."""
+    of_query = chunks.sparkSession.createDataFrame([(query,)], "t string").select(embed(F.col("t")).alias("v")).first()["v"]
+    return search(chunks, of_query, k, id_col, vector)
+
+
 def neighbours(vectors: DataFrame, query: list[float], k: int = 10, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The ``k`` of greatest cosine to ``query`` of which those above 0 are kept, so there may be fewer."""
     q = F.array(*[F.lit(float(x)) for x in query])

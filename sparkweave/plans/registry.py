@@ -209,11 +209,16 @@ def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return kg.load_corpus(spark, sf).chunks.select(F.col("chunk_uid").alias("uid"), "url", "text", vectors.embed(F.col("text")).alias("vector"))
 
 
+def chunk_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's sample query over the chunk table."""
+    return vectors.search_text(chunk_vectors(spark, sf), "alzheimer")
+
+
 _ALL: list[Query] = [
     scrub_text, html_paragraphs, sentence_split, chunk_documents, chunk_numbering, token_annotations, noun_chunk_spans, gazetteer_ner, relation_candidates, entity_dedupe, lemma_dictionary,
     lemma_nodes, entity_nodes, lookback_edges, compound_edges, cooccurrence_edges, relation_edges, resolved_edges, pagerank_fixed20, rank_stripes, textrank, top_entities, overlay_nodes,
     overlay_edges, within_edges, pronoun_qc, promotion_report, sentence_bags, entity_word2vec, viz_overlay, viz_lexical, kg_json, communities_lpa, vector_topk, vector_neighbours_positive,
-    mean_similarity, chunk_vectors,
+    mean_similarity, chunk_vectors, chunk_search,
 ]
 
 

@@ -186,5 +186,7 @@ def test_vectors(spark):
     df = spark.createDataFrame([*rows, (9, None), (10, [1.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in vectors.search(df, [1.0, 0.0], 3).collect()] == [0, 4, 3]
     assert [r.vec_id for r in vectors.neighbours(df, [1.0, 0.0], 4).collect()] == [0, 4, 3]
+    t = spark.createDataFrame([(1, "red barley and rye"), (2, "sleep"), (3, None)], "uid long, t string").withColumn("vector", vectors.embed(F.col("t")))
+    assert vectors.search_text(t, "Rye and red barley", 1).first().uid == 1
     e = spark.createDataFrame([("a b a",), ("",), (None,)], "t string").select(vectors.embed(F.col("t")).alias("v")).collect()
     assert abs(sum(x * x for x in e[0].v) - 1) < 1e-6 and set(e[1].v) == {0.0} and e[2].v is None
