@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.functions.text import scrub
+from sparkweave.functions.text import scrub_all
 from sparkweave.session import materialize
 
 CHUNK_SIZE = 1024
@@ -39,9 +39,8 @@ def fold_chunks(lines: Column, limit: int = CHUNK_SIZE) -> Column:
 
 def chunk_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = CHUNK_SIZE) -> DataFrame:
     """``doc_id, pos, text``: scrubbed sentences of each document in overlapping chunks; a null text gives none."""
-    lines = F.transform(sentences(F.col(text)), scrub)
-    chunks = fold_chunks(lines, limit)
-    return docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(chunks).alias("pos", "_lines")).select("doc_id", "pos", F.array_join("_lines", "\n").alias("text"))
+    lines = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), scrub_all(sentences(F.col(text))).alias("_sentences"))
+    return lines.select("doc_id", F.posexplode(fold_chunks(F.col("_sentences"), limit)).alias("pos", "_lines")).select("doc_id", "pos", F.array_join("_lines", "\n").alias("text"))
 
 
 def number_chunks(chunks: DataFrame) -> DataFrame:
