@@ -44,8 +44,9 @@ class Graph:
 def lexical_graph(corpus: Corpus, with_edges: bool = True) -> Graph:
     """Dictionary, nodes and resolved edges of all documents."""
     ents = materialize(corpus.entities, "kg-entities")
-    toks = corpus.tokens
-    corpus = Corpus(corpus.chunks, toks, ents, corpus.relations)
+    nouns = corpus.tokens.filter(F.col("pos").isin("NOUN", "PROPN"))  # all that the graph takes of the tokens, thrice
+    toks = materialize(nouns.select("doc_seq", "chunk_uid", "sent_id", "tok_i", "text", "pos", "key"), "kg-tokens")
+    corpus = Corpus(corpus.chunks, corpus.tokens, ents, corpus.relations)
     evs = graph.events(toks, ents)
     words = graph.dictionary(evs)
     ns = graph.nodes(evs, words)
