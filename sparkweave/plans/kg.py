@@ -28,7 +28,8 @@ def load_corpus(spark: SparkSession, sf: str) -> Corpus:
     rows = read_table(spark, sf, "text_chunk").filter("uid is not null and url is not null and text is not null").select("uid", "url", "text")
     one = rows.groupBy(F.col("uid").alias("chunk_uid")).agg(F.max(F.struct("url", "text")).alias("c")).select("chunk_uid", "c.url", "c.text")
     chunks = one.join(pages, "url").select("doc_seq", "chunk_uid", "url", "text")
-    mentions = read_table(spark, sf, "entities").withColumn("doc_seq", F.col("doc_seq").cast("long"))
+    # mentions of chunks that lack a url or text have no node to stand in
+    mentions = read_table(spark, sf, "entities").withColumn("doc_seq", F.col("doc_seq").cast("long")).join(chunks.select("chunk_uid"), "chunk_uid", "left_semi")
     return Corpus(chunks, annotate.tokens(chunks), graph.dedupe_entities(mentions), read_table(spark, sf, "relations"))
 
 

@@ -83,7 +83,7 @@ from (select *, tok_i - row_number() over (partition by doc_seq, chunk_uid, sent
 CTE["ner"] = "select p.*, n.label from proper p join names n on n.name = lower(p.text)"
 CTE["ents"] = f"""
 select doc_seq, chunk_uid, sent_id, span_start, span_end, key, text, coalesce(label, 'NP') as label, key not in {_in(STOP_KEYS)} as promoted from entities
-where chunk_uid is not null and span_start is not null and span_end is not null and key is not null and doc_seq is not null
+where chunk_uid is not null and span_start is not null and span_end is not null and key is not null and doc_seq is not null and chunk_uid in (select chunk_uid from chunks)
 qualify row_number() over (partition by chunk_uid, span_start, span_end order by label is null, coalesce(loaded_at, timestamp '9999-12-31'), text, key, doc_seq) = 1
 """
 CTE["events"] = """
