@@ -65,6 +65,18 @@ def test_frames(spark):
     assert p5_boilerplate.boilerplate(df.limit(0)).count() == 0
 
 
+def test_unlisted_frames(spark):
+    """Sentences of the frame that no list of phrases has, found by the site's wrapper; those within the text and titles of one form stay."""
+    consent, legal, figures = "Reading on here lets us leave small crumbs behind.", "Nothing on these sheets stands in for a visit to the ward.", "3 crumbs are left by each visit."
+    closing, counted = "So ended another week of the long trial.", "Every portion was weighed twice in the kitchen."
+    rows = [(i, f"http://kelp.example/{i}", "\n".join([consent, f"Rye number {'abcdefghijkl'[i]} and how it slept", f"It was said that rye {i} sleeps.", counted, f"Nobody asked barley {'abcdefghijkl'[i]} about it.", legal, figures])) for i in range(12)]
+    rows += [(100 + i, f"http://rye.example/{i}", "\n".join([f"Ostraby: the {'abcdefghijkl'[i // 12]}{'abcdefghijkl'[i % 12]} harvest and its twin" if i < 4 else f"Harvest {'abcdefghijkl'[i // 12]}{'abcdefghijkl'[i % 12]}", f"Plain text {'abcdefghijkl'[i // 12]}{'abcdefghijkl'[i % 12]} is here.", *[closing] * (i < 2)])) for i in range(40)]
+    assert not {p5_boilerplate.kind(x) for x in (consent, legal, figures, closing, counted)} & {p5_boilerplate.FRAME}
+    df = spark.createDataFrame(rows, "uid long, url string, text string")
+    got = {tuple(r) for r in p5_boilerplate.boilerplate(df).collect()}
+    assert got == {(i, k) for i in range(12) for k in (0, 5, 6)}
+
+
 def _encoding():
     tiktoken = pytest.importorskip("tiktoken")
     with open(f"{p8_tokenize.TOKENIZERS}/{p8_tokenize.VOCABULARY}", "rb") as f:
