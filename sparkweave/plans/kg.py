@@ -23,13 +23,17 @@ class Corpus:
 
 
 def load_corpus(spark: SparkSession, sf: str) -> Corpus:
-    """Each chunk once, with its page's number; tokens by the default annotator, entities and relations as delivered."""
+    """Each chunk with text once, with its page's number; tokens by the default annotator, entities and relations as delivered.
+
+    A chunk without url, or with one that no page has, takes the number from its mentions; without either it has no document.
+    """
     pages = read_table(spark, sf, "urls").filter("url is not null").groupBy("url").agg(F.min("doc_seq").cast("long").alias("doc_seq"))
-    rows = read_table(spark, sf, "text_chunk").filter("uid is not null and url is not null and text is not null").select("uid", "url", "text")
+    rows = read_table(spark, sf, "text_chunk").filter("uid is not null and text is not null").select("uid", "url", "text")
     one = rows.groupBy(F.col("uid").alias("chunk_uid")).agg(F.max(F.struct("url", "text")).alias("c")).select("chunk_uid", "c.url", "c.text")
-    chunks = one.join(pages, "url").select("doc_seq", "chunk_uid", "url", "text")
-    # mentions of chunks that lack a url or text have no node to stand in
-    mentions = read_table(spark, sf, "entities").withColumn("doc_seq", F.col("doc_seq").cast("long")).join(chunks.select("chunk_uid"), "chunk_uid", "left_semi")
+    mentions = read_table(spark, sf, "entities").withColumn("doc_seq", F.col("doc_seq").cast("long"))
+    mentioned = mentions.groupBy("chunk_uid").agg(F.min("doc_seq").alias("of_mention"))
+    numbered = one.join(pages, "url", "left").join(mentioned, "chunk_uid", "left").withColumn("doc_seq", F.coalesce("doc_seq", "of_mention"))
+    chunks = numbered.filter("doc_seq is not null").select("doc_seq", "chunk_uid", "url", "text")
     return Corpus(chunks, annotate.tokens(chunks), graph.dedupe_entities(mentions), read_table(spark, sf, "relations"))
 
 

@@ -8,7 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sparkweave.operators import annotate
+from sparkweave.operators import annotate, overlay
 from sparkweave.plans import kg, registry
 from sparkweave.sources import sinks
 from sparkweave.streaming.ingest import stream_chunks
@@ -40,6 +40,25 @@ def test_build(spark, tmp_path):
     assert len(whole["nodes"]) == parts["kg_nodes"].count() and len(whole["links"]) == parts["kg_edges"].count()
 
 
+def test_chunks_without_url(spark, tmp_path):
+    """They and their mentions and relations are in the graph, under the number their mentions have."""
+    tables = {
+        "urls": ([(0, "u")], "doc_seq int, url string"),
+        "text_chunk": ([(1, "u", "Anna Lund ate barley"), (2, None, "Anna Lund ate rye"), (2, None, "Anna Lund ate rye"), (3, None, "No mention stands here"), (4, "u", None)], "uid long, url string, text string"),
+        "entities": ([(d, u, 0, 2, "PROPN.anna PROPN.lund", "Anna Lund", "Person", 0, 7, None) for d, u in [(0, 1), (5, 2)]] + [(5, 2, 3, 4, "NOUN.rye", "rye", "Food", 0, 8, None)],
+                     "doc_seq int, chunk_uid long, span_start int, span_end int, key string, text string, label string, sent_id int, node_id long, loaded_at timestamp"),
+        "relations": ([(2, 0, 0, 2, 3, 4, "spouse", 0.5)], "chunk_uid long, rel_seq int, h_start int, h_end int, t_start int, t_end int, label string, score double"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    corpus = kg.load_corpus(spark, str(tmp_path))
+    assert sorted((r.doc_seq, r.chunk_uid, r.url) for r in corpus.chunks.collect()) == [(0, 1, "u"), (5, 2, None)]
+    assert sorted((r.chunk_uid, r.key) for r in corpus.entities.collect()) == [(1, "PROPN.anna PROPN.lund"), (2, "NOUN.rye"), (2, "PROPN.anna PROPN.lund")]
+    assert registry.relation_edges(spark, str(tmp_path)).count() == 1
+    g = kg.lexical_graph(corpus, with_edges=False)
+    assert {(r.id, r.url) for r in overlay.overlay_nodes(g.nodes, corpus.chunks).filter("kind = 'Chunk'").collect()} == {("chunk_1", "u"), ("chunk_2", None)}
+
+
 def test_stream_and_chunk_table(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "<p>One. Two.</p><p>Three.</p>"), (2, "v", None), (3, "w", "")], "page_id long, url string, html string")
     pages.write.parquet(str(tmp_path / "pages"))
