@@ -7,7 +7,9 @@ stand under many URLs of the site are taken out.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -97,12 +99,37 @@ def large_clusters(keyed: DataFrame, min_urls: int) -> DataFrame:
     return materialize(keyed.select("n_urls", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sum("n_urls").alias("n"), F.count(F.lit(1)).alias("n_types")).filter(F.col("n") >= min_urls).drop("n"), "p6-buckets")
 
 
+_LED = "h1 long, h2 long, cluster long, n_rows long"
+
+
+def _led(rows: pa.Table) -> pa.Table:
+    """The lines of a bucket under their leaders: from the most URLs down, a line unlike each leader so far is one itself.
+
+    Of two lines with enough in common, each has one of the other's least hashes among its own, as many as may be lacking
+    and one more; so a line is compared only with leaders that have one of these.
+    """
+    h1, h2, urls, grams = (rows[c].to_pylist() for c in ("h1", "h2", "n_urls", "grams"))
+    sets, index, led = [frozenset(g) for g in grams], defaultdict(list), []
+    for i in sorted(range(len(sets)), key=lambda i: (urls[i], h1[i], h2[i]), reverse=True):
+        n = len(sets[i])
+        least = sorted(sets[i])[: n - ceil(round(SIMILAR * n, 6)) + 1]
+        near = [x for x in {x for g in least for x in index[g]} if len(both := sets[i] & sets[x]) >= SIMILAR * (n + len(sets[x]) - len(both))]
+        if not near:
+            near = [i]
+            for g in least:
+                index[g].append(i)
+        led += [(i, x) for x in near]
+    lines, leaders = (pa.array([x[k] for x in led], pa.int64()) for k in (0, 1))
+    return pa.table({"h1": rows["h1"].take(lines), "h2": rows["h2"].take(lines), "cluster": rows["cluster"].take(leaders), "n_rows": rows["n_rows"].take(lines)})
+
+
 def repeated_lines(lines: DataFrame, min_urls: int = 5, exact: bool = True) -> DataFrame:
     """``uid, line_no`` of each place of a repeated line.
 
     With ``exact`` a line of a cluster counts if it itself stands under ``min_urls`` URLs of its site. Else all lines of
     a cluster do that together stand under so many, where those belong together that have 0.8 or more of their
-    shingles in common with the line of the bucket that stands under most URLs.
+    shingles in common with a leader they share a bucket with. A bucket's first leader is the line that stands under most
+    URLs; the lines unlike it get further leaders in the same way, until none is left.
     """
     keyed = clustered(lines)
     buckets = large_clusters(keyed, min_urls)
@@ -112,14 +139,19 @@ def repeated_lines(lines: DataFrame, min_urls: int = 5, exact: bool = True) -> D
     else:
         narrow = keyed.select("h1", "h2", "n_urls", "n_rows", "grams", F.explode("buckets").alias("bucket"))
         members = materialize(skew_lookup(narrow, buckets, "bucket", "n_types", F.col("h1")), "p6-members")
-        leaders = members.groupBy("bucket").agg(F.max_by("grams", F.struct("n_urls", "h1", "h2")).alias("leader"), F.count(F.lit(1)).alias("n_types"))
+        leaders = members.groupBy("bucket").agg(F.max_by(F.struct("grams", F.xxhash64("h1", "h2").alias("cluster")), F.struct("n_urls", "h1", "h2")).alias("l"), F.count(F.lit(1)).alias("n_types"))
+        leaders = leaders.select("bucket", F.col("l.grams").alias("leader"), "l.cluster", "n_types")
         common = F.size(F.array_intersect("grams", "leader"))
         alike = common >= SIMILAR * (F.size(F.array_union("grams", "leader")))
-        members = materialize(skew_lookup(members, materialize(leaders, "p6-leaders"), "bucket", "n_types", F.col("h1")).filter(alike).select("h1", "h2", "bucket", "n_rows"), "p6-alike")
+        compared = materialize(skew_lookup(members, materialize(leaders, "p6-leaders"), "bucket", "n_types", F.col("h1")).withColumn("alike", alike).drop("leader"), "p6-compared")
+        left = compared.filter("not alike")
+        left = left.join(left.groupBy("bucket").agg(F.sum("n_urls").alias("n")).filter(F.col("n") >= min_urls).select("bucket"), "bucket", "left_semi")
+        further = left.select("bucket", "h1", "h2", F.xxhash64("h1", "h2").alias("cluster"), "n_urls", "n_rows", "grams").groupBy("bucket").applyInArrow(_led, _LED)
+        members = materialize(compared.filter("alike").select("h1", "h2", "cluster", "n_rows").unionByName(further).distinct(), "p6-alike")
         of_url = lines.select("h1", "h2", F.xxhash64("url").alias("_u")).distinct().withColumn("_k", F.xxhash64("h1", "h2"))
-        sets = members.groupBy(F.xxhash64("h1", "h2").alias("_k")).agg(F.collect_set("bucket").alias("buckets"), F.max("n_rows").alias("n_rows"))
-        full = skew_lookup(of_url, materialize(sets, "p6-sets"), "_k", "n_rows", F.col("_u")).select("_u", F.explode("buckets").alias("bucket")).distinct().groupBy("bucket").count().filter(F.col("count") >= min_urls)
-        chosen = members.join(full, "bucket", "left_semi").groupBy("h1", "h2").agg(F.max("n_rows").alias("n_rows"))
+        sets = members.groupBy(F.xxhash64("h1", "h2").alias("_k")).agg(F.collect_set("cluster").alias("clusters"), F.max("n_rows").alias("n_rows"))
+        full = skew_lookup(of_url, materialize(sets, "p6-sets"), "_k", "n_rows", F.col("_u")).select("_u", F.explode("clusters").alias("cluster")).distinct().groupBy("cluster").count().filter(F.col("count") >= min_urls)
+        chosen = members.join(full, "cluster", "left_semi").groupBy("h1", "h2").agg(F.max("n_rows").alias("n_rows"))
     chosen = materialize(chosen.select("h1", F.col("h2").alias("_h2"), "n_rows"), "p6-chosen")
     places = lines.select("uid", "line_no", "h1", "h2")
     return skew_lookup(places, chosen, "h1", "n_rows", F.struct("uid", "line_no")).filter("h2 = _h2").select("uid", "line_no").distinct()

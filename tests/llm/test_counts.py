@@ -82,6 +82,21 @@ def test_near_lines(spark):
     assert {r.uid for r in p6_site_lines.repeated_lines(p6_site_lines.site_lines(df), exact=False).collect()} == set(range(6))
 
 
+def test_rarer_family(spark):
+    """Near-duplicates all of whose buckets are led by another, more frequent line, unlike them."""
+    rng = random.Random(0)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    stem = [word() for _ in range(34)]
+    frequent, family = " ".join([*stem, *(word() for _ in range(6))]), [word() for _ in range(5)]
+    texts = [frequent] * 9 + [" ".join([*stem, *family, word()]) for _ in range(6)]
+    df = spark.createDataFrame([(i, f"http://s.example/{i}", t) for i, t in enumerate(texts)], "uid long, url string, text string")
+    found = p6_site_lines.site_lines(df)
+    buckets = {tuple(sorted(r.buckets)) for r in p6_site_lines.clustered(found).collect()}
+    assert len(buckets) == 1
+    assert {r.uid for r in p6_site_lines.repeated_lines(found, exact=False).collect()} == set(range(15))
+    assert {r.uid for r in p6_site_lines.repeated_lines(found, min_urls=7, exact=False).collect()} == set(range(9))
+
+
 def test_sites(spark):
     urls = ["HTTP://WWW.X.example:8080/a", "//x.example", "x.example/b", "https://u:p@www.x.example/", None, "", "www.blog.x.example."]
     df = spark.createDataFrame([(u,) for u in urls], "u string").select(lines.site_of(F.col("u")).alias("s"))
