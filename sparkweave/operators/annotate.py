@@ -36,6 +36,8 @@ RE_LABELS = {
 }
 #: Our mapping between the two sets of types, which have no member in common.
 TYPES = {"Person": "PERSON", "Company": "ORG", "Organization": "ORG", "Hospital": "ORG", "University": "ORG", "City": "GPE", "Country": "GPE"}
+#: Type of entities with another label; it stands only where a relation allows any.
+UNTYPED = "-"
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
 BLANKS = "[ \t\r\f]+"
 
@@ -113,8 +115,9 @@ def relation_candidates(ents: DataFrame) -> DataFrame:
     """``chunk_uid, sent_id, h_start, h_end, t_start, t_end, label, score``: ordered pairs of a sentence's entities that
     the types of a relation allow, with a score that falls with their distance, of half or more."""
     types = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
-    typed = ents.withColumn("type", F.element_at(types, F.col("label"))).filter("type is not null")
-    rows = [(label, h, t) for label, (heads, tails) in RE_LABELS.items() for h in heads for t in tails]
+    typed = ents.withColumn("type", F.coalesce(F.element_at(types, F.col("label")), F.lit(UNTYPED)))
+    every = [*dict.fromkeys(TYPES.values()), UNTYPED]
+    rows = [(label, h, t) for label, (heads, tails) in RE_LABELS.items() for h in heads or every for t in tails or every]
     allowed = ents.sparkSession.createDataFrame(rows, "label string, h_type string, t_type string")
     h = typed.select("chunk_uid", "sent_id", F.col("span_start").alias("h_start"), F.col("span_end").alias("h_end"), F.col("type").alias("h_type"))
     t = typed.select("chunk_uid", "sent_id", F.col("span_start").alias("t_start"), F.col("span_end").alias("t_end"), F.col("type").alias("t_type"))

@@ -23,6 +23,14 @@ def test_noun_chunks(spark):
     assert (6, 8, "PROPN.anna PROPN.lund") in got and (8, 9, "PRON.it") in got and (11, 13, "NUM.12 NOUN.point") in got
 
 
+def test_any_type_relation(spark):
+    """An empty list of types allows any: every ordered pair is a candidate for no_relation, of untyped entities too."""
+    ents = spark.createDataFrame([(1, 0, 0, 1, "Person"), (1, 0, 2, 3, "Company"), (1, 0, 4, 5, "NP"), (1, 1, 6, 7, "Food")], "chunk_uid long, sent_id int, span_start int, span_end int, label string")
+    got = {(r.h_start, r.t_start, r.label) for r in annotate.relation_candidates(ents).collect()}
+    assert {(h, t) for h, t, label in got if label == "no_relation"} == {(h, t) for h in (0, 2, 4) for t in (0, 2, 4) if h != t}
+    assert {(h, t) for h, t, label in got if label != "no_relation"} == {(0, 2), (2, 0)} and (0, 2, "founder") in got
+
+
 def test_names_agree():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
