@@ -41,8 +41,13 @@ def write_node_link(nodes: DataFrame, edges: DataFrame, path: str, most: int = 1
 
 
 def write_html(viz: DataFrame, edges: DataFrame, path: str, most: int = 5000) -> None:
-    """A page that lists what a picture of the graph shows, written once, with or without edges."""
-    nodes, links = viz.limit(most).collect(), edges.limit(most).collect()
+    """A page that lists what a picture of the graph shows, written once, with or without edges.
+
+    Graphs with over ``most`` nodes or edges are refused.
+    """
+    nodes, links = viz.limit(most + 1).collect(), edges.limit(most + 1).collect()
+    if max(len(nodes), len(links)) > most:
+        raise ValueError("the graph is too large for one page; write graph_json instead")
     body = "".join(f"<tr><td>{html.escape(str(n['id']))}<td>{n['size']}<td>{html.escape(n['label'] or '')}<td>{html.escape(n['title'] or '')}" for n in nodes)
     lines = "".join(f"<li>{html.escape(str(e['src']))} – {html.escape(e['rel'])} – {html.escape(str(e['dst']))}" for e in links)
     with open(path, "w", encoding="utf-8") as out:

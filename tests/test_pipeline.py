@@ -31,6 +31,17 @@ def test_any_type_relation(spark):
     assert {(h, t) for h, t, label in got if label != "no_relation"} == {(0, 2), (2, 0)} and (0, 2, "founder") in got
 
 
+def test_page_refuses_large_graphs(spark, tmp_path):
+    viz = spark.createDataFrame([(str(i), 5, f"n{i}", None) for i in range(4)], "id string, size int, label string, title string")
+    edges = spark.createDataFrame([("0", "1", "r")], "src string, dst string, rel string")
+    sinks.write_html(viz, edges, str(tmp_path / "g.html"), most=4)
+    assert (tmp_path / "g.html").read_text().count("<tr>") == 4
+    with pytest.raises(ValueError):
+        sinks.write_html(viz, edges, str(tmp_path / "h.html"), most=3)
+    with pytest.raises(ValueError):
+        sinks.write_html(viz.limit(0), edges.union(edges), str(tmp_path / "h.html"), most=1)
+
+
 def test_names_agree():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
