@@ -1,20 +1,22 @@
 """Problem 8: token ids of a whole corpus by a public byte-level BPE, within Spark's own expressions.
 
-Each distinct word is encoded once: an ``aggregate`` folds the merges over its bytes, lowest rank first, with the ranks
-in a literal map. The map is cut into buckets by CRC-32, since a lookup in one of Spark's maps reads it from its start.
+Texts are cut into words once. Each distinct word is encoded once: an ``aggregate`` folds the merges over its bytes,
+lowest rank first, with the ranks in a literal map. The most frequent words, a bounded number, then get their ids in
+place from a second literal map; only words that aren't among them go through a join. Both maps are cut into buckets,
+since a lookup in one of Spark's maps reads it from its start.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import math
 import zlib
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.operators.skew import skew_lookup
 from sparkweave.session import materialize
 from sparkweave.sources.tables import read_table
 
@@ -24,6 +26,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the public pattern of this tokenizer that cuts a text into words.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BUCKETS = 8192
+#: Most words whose ids are put in place from a literal map, and its buckets.
+HEAD, HEAD_BUCKETS = 65_536, 65_536
 _NONE = 2147483647
 _RANKS = "array<map<string,int>>"
 
@@ -91,24 +95,72 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + PATTERN), F.lit(0))
 
 
-def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
-    """``<id_col>, ids array<int>``, one row for each distinct (id, text).
+def _head_count(words: DataFrame, most: int) -> int:
+    """The least number of rows that ``most`` words at most have or exceed, from a histogram of eighths of octaves."""
+    step = F.floor(F.log2("n_rows") * 8)
+    sizes = {r["step"]: r["n"] for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, least = 0, 0
+    for s in sorted(sizes, reverse=True):
+        total += sizes[s]
+        if total > most:
+            least = s + 1
+            break
+    return math.ceil(2 ** (least / 8) - 1e-9)
+
+
+def _place(word: Column) -> Column:
+    return F.pmod(F.hash(word), F.lit(HEAD_BUCKETS))
+
+
+def _head(words: DataFrame, least: int) -> Column:
+    """The ids of words with ``least`` rows or more as a literal of maps by bucket."""
+    buckets: list[dict[str, list[int]]] = [{} for _ in range(HEAD_BUCKETS)]
+    for r in words.filter(F.col("n_rows") >= least).select("word", "ids", _place(F.col("word")).alias("b")).toLocalIterator():
+        buckets[r["b"]][r["word"]] = r["ids"]
+    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,array<int>>>")
+
+
+def _filled(ids: Column, tail: Column) -> Column:
+    """``ids`` with each -1, in order, replaced by the next list of ``tail``."""
+    holes = F.filter(F.transform(ids, lambda x, i: F.when(x == -1, i)), lambda i: i.isNotNull())
+
+    def whole(h: Column) -> Column:
+        def piece(t: Column, k: Column) -> Column:
+            start = F.when(k == 0, F.lit(0)).otherwise(F.get(h, k - 1) + 1)
+            return F.concat(F.slice(ids, start + 1, F.get(h, k) - start), t)
+
+        last = F.element_at(h, -1)
+        return F.concat(F.flatten(F.transform(tail, piece)), F.slice(ids, last + 2, F.greatest(F.size(ids) - last - 1, F.lit(0))))
+
+    return _let(holes, whole)
+
+
+def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str = f"{TOKENIZERS}/{VOCABULARY}", head: int = HEAD) -> DataFrame:
+    """``<id_col>, ids array<int>``, one row for each row of ``docs``, repeated ones too.
 
     A null and an empty text give an empty list; names of special tokens in a text are ordinary text; a table without
-    rows gives none. A null id is kept as it is. Other columns are not looked at.
+    rows gives none. A null id is kept as it is. Other columns are not looked at. Words beyond the ``head`` most
+    frequent ones go through a join; none of them has over 1 / ``head`` of all words, so it needs no salt.
     """
     ranks = F.from_json(F.lit(_rank_json(path)), _RANKS)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    cut = rows.select("_id", F.xxhash64("_id", "_text").alias("_row"), F.coalesce(words_of(F.col("_text")), F.array().cast("array<string>")).alias("_words"))
+    words_col = F.coalesce(words_of(F.col(text_col)), F.array().cast("array<string>"))
+    cut = materialize(docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), words_col.alias("_words")), "p8-cut")
     counted = cut.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_rows"))
-    counted = counted.repartition(F.xxhash64("word"))
+    # a fixed number: few bytes, but much work for each of them
+    counted = counted.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
     words = materialize(counted.select("word", "n_rows", encode_word(F.col("word"), ranks).alias("ids")), "p8-words")
-    tokens = cut.select("_id", "_row", F.posexplode("_words").alias("_pos", "word"))
-    found = skew_lookup(tokens, words, "word", "n_rows", F.struct("_row", "_pos"))
-    listed = found.groupBy("_id", "_row").agg(F.array_sort(F.collect_set(F.struct("_pos", "ids"))).alias("_all"))
-    full = listed.select(F.col("_id").alias(id_col), F.flatten(F.col("_all.ids")).alias("ids"))
-    empty = rows.filter("_text is null or _text = ''").select(F.col("_id").alias(id_col), F.array().cast("array<int>").alias("ids"), F.col("_text")).distinct().drop("_text")
-    return full.unionByName(empty)
+    least = _head_count(words, head)
+    known = _head(words, least)
+    found = lambda w: F.element_at(F.get(known, _place(w)), w)
+    if words.filter(F.col("n_rows") < least).isEmpty():
+        return cut.select(F.col("_id").alias(id_col), F.flatten(F.transform("_words", found)).alias("ids"))
+    coded = cut.select("_id", "_row", F.flatten(F.transform("_words", lambda w: F.coalesce(found(w), F.array(F.lit(-1))))).alias("ids"), "_words")
+    whole = coded.filter(~F.array_contains("ids", -1)).select(F.col("_id").alias(id_col), "ids")
+    rest = coded.filter(F.array_contains("ids", -1)).select("_id", "_row", "ids")
+    tail = cut.select("_row", F.posexplode("_words").alias("_pos", "word")).join(words.filter(F.col("n_rows") < least).select("word", F.col("ids").alias("_own")), "word")
+    listed = tail.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_own"))).alias("_all"))
+    full = rest.join(listed, "_row").select(F.col("_id").alias(id_col), _filled(F.col("ids"), F.col("_all._own")).alias("ids"))
+    return whole.unionByName(full)
 
 
 def decode_ids(df: DataFrame, ids_col: str, out: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:

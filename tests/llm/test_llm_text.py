@@ -96,6 +96,9 @@ def test_tokens(spark):
     back = {r.doc_id: r.text for r in p8_tokenize.decode_ids(rows, "ids").collect()}
     assert all(back[i] == t for i, t in enumerate(texts))
     assert p8_tokenize.token_ids(df.limit(0), "doc_id", "text").count() == 0
+    # with few words put in place the others go through the join
+    for head in (30, 0):
+        assert {r.doc_id: r.ids for r in p8_tokenize.token_ids(df, "doc_id", "text", head=head).collect() if r.ids} == {i: ids for i, ids in got.items() if ids}
 
 
 ITEMS = [(i, f"Question {i}: in the {n} kitchens, how much {a} {b} did each of the {i + 90} households keep back for the {c}? Answer: {i + 7} grams, because {c} came before {d} and the cook of {n} trusted no {b}.")
