@@ -112,14 +112,26 @@ def test_leaks(spark):
             (6, a.replace("Varvim", "Other").replace("barley", "oats").replace("modest", "calm").replace("sample", "trip").replace("tinnitus", "rust").replace("90", "12").replace("7", "3")), (7, None), (8, ""), (1, pad + a), (9, a.split("? ")[0] + "? " + pad + a.split("? ")[1])]
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item")
     i = spark.createDataFrame([*ITEMS, ITEMS[0], (70, None), (71, " ")], "item_id long, text string")
-    got = sorted(tuple(r) for r in p9_leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect())
-    assert got == [(1, 0), (2, 0), (3, 0), (4, 1), (9, 0)]
+    rows = p9_leaks.leaks(d, "doc_id", "text", i, "item_id", "text").collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(1, 0), (2, 0), (3, 0), (4, 1), (9, 0)]
+    assert all(r.question_share == r.answer_share == 1 for r in rows if r.doc_id in (1, 2)) and [r.answer_share < 0.5 < r.question_share for r in rows if r.doc_id == 4] == [True]
+    # more items than an index may have are searched in parts
+    assert sorted((r.doc_id, r.item_id) for r in p9_leaks.leaks(d, "doc_id", "text", i, "item_id", "text", part_items=2).collect()) == [(1, 0), (2, 0), (3, 0), (4, 1), (9, 0)]
     assert p9_leaks.leaks(d, "doc_id", "text", i.limit(0), "item_id", "text").count() == 0
     assert p9_leaks.leaks(d.limit(0), "doc_id", "text", i, "item_id", "text").count() == 0
     plain = lambda t: unicodedata.normalize("NFKD", t)
     assert p9_leaks.words_of("Café's—X") == [w for w in ["cafes", "x"]] and plain("é") != "é"
 
 
+def test_leaks_of_stock_words_and_parted_sentences():
+    stem = "which of the following is the most likely next step for the person who was described above"
+    items = [(0, stem), *[(k, f"{stem} number {k} with kelp{k} and rye{k}") for k in range(1, 301)], (999, "Ola kept nine grey snails here. Her aunt sold six of them. None was ever seen again by Ola.")]
+    index, pad = p9_leaks.Index(items), "The weather stayed as it was and nobody thought much of it at the time of the year. " * 3
+    texts = [pad + stem + " " + pad, pad, f"Ola kept nine grey snails here. {pad} Her aunt sold six of them. {pad}", f"{pad} Her aunt sold six of them. {pad} Ola kept nine grey snails here.", f"{pad * 9}{items[7][1]} {pad * 9}"]
+    assert {(d, i) for d, i, *_ in p9_leaks._search(index, texts)} == {(0, 0), (2, 999), (4, 7), (4, 0)}
+    assert not list(p9_leaks._search(p9_leaks.Index([(1, "kelp")]), ["rye and barley", ""])) and list(p9_leaks._search(p9_leaks.Index([(1, "kelp")]), ["rye and kelp"]))
+
+
 LINES = {
     "en": "The older group asked whether barley was linked to sleep {}|About half of the people said little about the evening meal {}|They logged what was eaten in the home kitchen {}",
     "de": "Die ältere Gruppe prüft den Blutdruck am Morgen nach der Küche {}|Das Gemüse vom Markt verbessert den Schlaf auf dem Land {}|Der zweite Fragebogen erfasst die Ergebnisse {}",
