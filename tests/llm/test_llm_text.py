@@ -77,6 +77,16 @@ def test_unlisted_frames(spark):
     assert got == {(i, k) for i in range(12) for k in (0, 5, 6)}
 
 
+def test_slots_of_wrappers(spark):
+    """Lines of the frame that share only a part, by the site's wrapper alone."""
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:03}")
+    page = lambda i: ["Oats | Kelp | Rye and bran", f"Onward: how {name(i)} went along with {name(i + 9)}", f"How kelp {name(i)} went along with sleep", f"It was said of {name(i)} that rye sleeps.", "Method", f"Then {name(i)} was left out of the sums.", f"{i} nods", f"Those of {name(i)} slept on.", f"All of rye {name(i + 5)} in a nutshell ({i} notes)", f"We of the mill leave {name(i)} crumbs here.", "zzq end"]
+    rows = [(i, f"http://kelp.example/{i}", "\n".join(x for k, x in enumerate(page(i)) if k != 4 or i % 9 == 0)) for i in range(60)]
+    got = {(r.uid, rows[r.uid][2].split("\n")[r.line_no]) for r in p5_boilerplate.frame_lines(spark.createDataFrame(rows, "uid long, url string, text string")).filter("by_wrapper").collect()}
+    assert got == {(i, page(i)[k]) for i in range(60) for k in (0, 1, 6, 8, 9, 10)}
+    assert p5_boilerplate.Part([]).wrapper() == [] and not p5_boilerplate.forms("  ", "x")
+
+
 def _encoding():
     tiktoken = pytest.importorskip("tiktoken")
     with open(f"{p8_tokenize.TOKENIZERS}/{p8_tokenize.VOCABULARY}", "rb") as f:
