@@ -60,8 +60,8 @@ def test_frames(spark):
     df = spark.createDataFrame(rows, "uid long, url string, text string").selectExpr("*", "'x' as site", "1 as line_no").select("uid", "url", "text")
     got = {tuple(r) for r in p5_boilerplate.boilerplate(df).collect()}
     assert (50, 0) in got and all((i, 4) in got and (i, 3) not in got for i in range(6))
-    w = p5_boilerplate.wrappers(df.filter("text is not null and uid is not null")).collect()
-    assert [r.pages for r in w] == [7] and "zzq end strip" in w[0].tokens
+    w = p5_boilerplate.spelled_wrappers(df).collect()
+    assert [r.pages for r in w] == [7] and "zzq end strip?" in w[0].wrapper.split("\n")
     assert p5_boilerplate.boilerplate(df.limit(0)).count() == 0
 
 
