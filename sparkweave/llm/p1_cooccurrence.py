@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkweave.operators.skew import skew_lookup
 from sparkweave.session import materialize
 from sparkweave.sources.tables import read_table
 
@@ -61,10 +62,13 @@ def associations(rows: DataFrame, group: list[str], item: str, min_count: int =
     baskets = materialize(collapse_baskets(rows, group, item), "p1-baskets")
     n = baskets.agg(F.sum("weight")).first()[0] or 0
     items = baskets.select("weight", F.explode("items").alias("key")).groupBy("key").agg(F.sum("weight").alias("n_key"))
-    pairs = pair_counts(baskets).filter(F.col("n_ab") >= min_count)
-    a = items.select(F.col("key").alias("key_a"), F.col("n_key").alias("n_a"))
-    b = items.select(F.col("key").alias("key_b"), F.col("n_key").alias("n_b"))
-    out = pairs.join(a, "key_a").join(b, "key_b").withColumn("n", F.lit(n).cast("long"))
+    items = materialize(items, "p1-items")
+    out = materialize(pair_counts(baskets).filter(F.col("n_ab") >= min_count), "p1-pairs").withColumn("n", F.lit(n).cast("long"))
+    for side, other in ("ab", "ba"):
+        # a frequent key has many partners
+        degree = out.groupBy(F.col(f"key_{side}").alias("key")).agg(F.count(F.lit(1)).alias("n_rows"))
+        of_key = materialize(items.join(degree, "key").select(F.col("key").alias(f"key_{side}"), F.col("n_key").alias(f"n_{side}"), "n_rows"), "p1-degrees")
+        out = skew_lookup(out, of_key, f"key_{side}", "n_rows", F.col(f"key_{other}"))
     return out.select(
         "key_a", "key_b", "n_ab", "n_a", "n_b", "n",
         F.round(F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b")), 6).alias("lift"),
