@@ -14,36 +14,43 @@ from sparkweave.operators.skew import dense_dictionary, skew_lookup
 from sparkweave.session import materialize
 from sparkweave.sources.tables import read_table
 
-#: Identifiers in a block, and blocks that a task holds before it gives them out.
-BLOCK = 1024
-HELD = 512
+#: Identifiers in a block, and parts of a block's identifiers that are counted apart, so that no task gets all its rows.
+BLOCK, PARTS = 1024, 4
 _BLOCKS = "block long, occurrences array<long>, presence array<long>"
 
 
+def _presummed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one identifier in a batch as one, so that a hot one costs a row a batch."""
+    for batch in batches:
+        ids, which, n = np.unique(batch.column(0).to_numpy(), return_inverse=True, return_counts=True)
+        total = np.zeros(len(ids), np.int64)
+        np.add.at(total, which, batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(ids // BLOCK), pa.array(ids), pa.array(total), pa.array(n)], ["block", "id", "n", "records"])
+
+
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
+    """One pair of arrays for each block; rows come sorted by block, so a task holds one at a time."""
+    now, held = None, np.zeros((2, BLOCK), np.int64)
 
-    def out() -> pa.RecordBatch:
-        blocks = sorted(held)
-        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(pa.array([held[b][i] for b in blocks], pa.list_(pa.int64())) for i in (0, 1))], ["block", "occurrences", "presence"])
+    def out(blocks: list[int], arrays: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), *(pa.array([a[i] for a in arrays], pa.list_(pa.int64())) for i in (0, 1))], ["block", "occurrences", "presence"])
 
     for batch in batches:
-        ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(ids):
-            continue
-        order = np.argsort(ids, kind="stable")
-        ids, n = ids[order], n[order]
-        block, first = np.unique(ids // BLOCK, return_index=True)
-        for b, i, j in zip(block.tolist(), first, [*first[1:], len(ids)]):
-            a = held.setdefault(b, np.zeros((2, BLOCK), np.int64))
-            at = ids[i:j] - b * BLOCK
-            np.add.at(a[0], at, n[i:j])
-            a[1] += np.bincount(at, minlength=BLOCK)
-        if len(held) > HELD:
-            yield out()
-            held.clear()
-    if held:
-        yield out()
+        block, ids, n, records = (c.to_numpy() for c in batch.columns)
+        starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+        blocks, arrays = [], []
+        for b, i, j in zip(block[starts].tolist(), starts, [*starts[1:], len(block)]):
+            if b != now:
+                if now is not None:
+                    blocks.append(now)
+                    arrays.append(held)
+                now, held = b, np.zeros((2, BLOCK), np.int64)
+            np.add.at(held[0], ids[i:j] - b * BLOCK, n[i:j])
+            np.add.at(held[1], ids[i:j] - b * BLOCK, records[i:j])
+        if blocks:
+            yield out(blocks, arrays)
+    if now is not None:
+        yield out([now], [held])
 
 
 def _summed(blocks: pd.DataFrame) -> pd.DataFrame:
@@ -55,15 +62,16 @@ def frequencies(mentions: DataFrame, key: str, record: str, rare: int = 1, commo
 
     ``mark`` is ``rare`` for a key of at most ``rare`` records, else ``common`` for one in more than ``common_share`` of
     the records that have any key, else null. A null record counts as one record. An empty table gives no rows.
-    Mentions are first summed by key and record on the map side. The ids of a dictionary's partition are a range, and
-    the join keeps the keys of a partition together, so a task fills the arrays of few blocks.
+    Mentions are first summed by key and record on the map side. Encoded rows are summed by batch, brought together by
+    range of identifiers and counted into the arrays of one block after the other; the arrays of a block's parts are summed.
     """
     held = mentions.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), F.col(record).alias("record")).agg(F.count(F.lit(1)).alias("n"))
     held = materialize(held, "p4-held")
     records = held.select(F.countDistinct(F.coalesce(F.col("record").cast("string"), F.lit("")))).first()[0]
     words = materialize(dense_dictionary(held, "key", label="p4-keys"), "p4-dictionary")
     encoded = skew_lookup(held, words, "key", "n_rows", F.col("record")).select("id", "n")
-    blocks = encoded.mapInArrow(_arrays, _BLOCKS).groupBy("block").applyInPandas(_summed, _BLOCKS)
+    parts = encoded.mapInArrow(_presummed, "block long, id long, n long, records long").repartition("block", F.pmod("id", F.lit(PARTS))).sortWithinPartitions("block")
+    blocks = parts.mapInArrow(_arrays, _BLOCKS).groupBy("block").applyInPandas(_summed, _BLOCKS)
     counts = blocks.select("block", F.posexplode(F.arrays_zip("occurrences", "presence")).alias("at", "c")).select(
         (F.col("block") * BLOCK + F.col("at")).alias("id"), F.col("c.occurrences").alias("n_occurrences"), F.col("c.presence").alias("n_records")
     ).filter("n_records > 0")

@@ -7,6 +7,9 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from sparkweave.llm import lines, p1_cooccurrence, p4_frequency, p6_site_lines
@@ -97,6 +100,19 @@ def test_rarer_family(spark):
     assert {r.uid for r in p6_site_lines.repeated_lines(found, min_urls=7, exact=False).collect()} == set(range(9))
 
 
+def test_few_arrays_of_many_identifiers():
+    """Ids of ten million, of which one is hot: one pair of arrays for each block that a task meets."""
+    rng = np.random.default_rng(2)
+    ids = np.where(rng.random(30_000) < 0.3, 77, rng.integers(0, 10_000_000, 30_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.ones(len(ids), np.int64))], ["id", "n"])
+    summed = pa.Table.from_batches(p4_frequency._presummed(batch.slice(i, 10_000) for i in range(0, 30_000, 10_000)))
+    assert summed.num_rows <= np.unique(ids).size + 300
+    of_task = summed.filter(pc.less(summed["block"], 64)).sort_by("block")
+    out = pa.Table.from_batches(p4_frequency._arrays(of_task.to_batches(max_chunksize=50)))
+    assert out.num_rows == np.unique(of_task["block"].to_numpy()).size <= 64
+    assert out["occurrences"].to_pylist()[0][77] == out["presence"].to_pylist()[0][77] == (ids == 77).sum()
+
+
 def test_sites(spark):
     urls = ["HTTP://WWW.X.example:8080/a", "//x.example", "x.example/b", "https://u:p@www.x.example/", None, "", "www.blog.x.example."]
     df = spark.createDataFrame([(u,) for u in urls], "u string").select(lines.site_of(F.col("u")).alias("s"))
