@@ -51,6 +51,19 @@ def test_names(spark):
     assert p2_names.name_groups(df.limit(0), "text").count() == 0
 
 
+def test_orders_and_short_forms(spark):
+    same = [
+        ["Alexander Smith"], ["Alexandra Smith"], ["Alex Smith"], ["Sam Holt", "Samantha Holt"], ["Maria Luisa Rossi", "Rossi Maria Luisa", "Luisa Maria Rossi", "Rossi, Maria Luisa"],
+        ["Katherine Johansson", "Katerine Johanson"], ["Will Works"], ["Oskvar", "Oskvarr"],
+    ]
+    label = lambda t: "Company" if t.startswith("Osk") else "Person"
+    df = spark.createDataFrame([(t, label(t)) for g in same for t in g] + [("Will Works", None), ("Will Works", "Person")], "text string, label string")
+    got: dict[str, set[str]] = {}
+    for r in p2_names.name_groups(df, "text", "label").collect():
+        got.setdefault(r.name_id, set()).add(r.text)
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in same}
+
+
 def test_neighbours(spark, monkeypatch):
     monkeypatch.setattr(p7_neighbours, "TILE", 16)
     monkeypatch.setattr(p7_neighbours, "SEARCHERS", 24)
@@ -68,12 +81,14 @@ def test_neighbours(spark, monkeypatch):
     assert p7_neighbours.neighbours(df.limit(0), "uid", "vector").count() == 0
 
 
-def test_recall_of_cells(spark):
+@pytest.mark.parametrize(("cell", "most"), [(100, 4096), (30, 4096), (30, 6)])
+def test_recall_of_cells(spark, cell, most):
+    """Recall against brute force at several numbers of cells, with one level of centres and with two."""
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(12, 64))
     x = (centres[rng.integers(0, 12, 1500)] + 0.7 * rng.normal(size=(1500, 64))).astype("float32")
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "uid long, vector array<float>")
-    got = {r.uid: [n.other for n in r.near] for r in p7_neighbours.neighbours(df, "uid", "vector", cell=100).collect()}
+    got = {r.uid: [n.other for n in r.near] for r in p7_neighbours.neighbours(df, "uid", "vector", cell=cell, most=most).collect()}
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = u @ u.T
     np.fill_diagonal(s, -2)
