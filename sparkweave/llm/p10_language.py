@@ -30,6 +30,8 @@ FEATURES = 1 << FEATURE_BITS
 SIZES, SMOOTH, SHARP = (2, 3, 4), 0.5, 3.0
 #: Letters that make a line running text, and the confidence from which a line or document counts.
 MIN_LETTERS, MIN_WORDS, CONFIDENT = 12, 3, 0.1
+#: The share of a document from which its main language is beyond doubt.
+MAJORITY = 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿]")
 
@@ -147,7 +149,7 @@ def cleaned_fit(pairs: list[tuple[str, str]], rounds: int = 3) -> Model:
     return model
 
 
-_SEGMENTS = "doc {kind}, line_no int, lang string, confidence double, main boolean"
+_SEGMENTS = "doc {kind}, line_no int, lang string, confidence double, ambiguous boolean, label_right boolean"
 
 
 def _detector(model: Model):
@@ -161,7 +163,7 @@ def _detector(model: Model):
                         if t := running(line):
                             where.append((d, no, len(t) * (3 if _WIDE.search(t) else 1)))
                             texts.append(t)
-                out: list[tuple[int, int, str, float, bool]] = []
+                out: list[tuple[int, int, str, float, bool, bool | None]] = []
                 if texts:
                     lang, gap = model.decide(texts)
                     votes = np.zeros((batch.num_rows, len(LANGUAGES)))
@@ -169,32 +171,33 @@ def _detector(model: Model):
                         votes[d, c] += size * (0.1 + g)
                     main = votes.argmax(axis=1)
                     share = votes.max(axis=1) / np.maximum(votes.sum(axis=1), 1e-9)
+                    labels = batch.column(2).to_pylist()
                     for d in sorted({d for d, _, _ in where}):
-                        out.append((d, -1, LANGUAGES[main[d]], float(share[d]), True))
-                    out += [(d, no, LANGUAGES[c], float(g), False) for (d, no, _), c, g in zip(where, lang, gap) if c != main[d] and g >= CONFIDENT]
-                rows = list(zip(*out)) if out else [[], [], [], [], []]
+                        out.append((d, -1, LANGUAGES[main[d]], float(share[d]), bool(share[d] < MAJORITY), labels[d] == LANGUAGES[main[d]]))
+                    out += [(d, no, LANGUAGES[c], float(g), bool(g < CONFIDENT), None) for (d, no, _), c, g in zip(where, lang, gap) if c != main[d]]
+                rows = list(zip(*out)) if out else [[]] * 6
                 docs = batch.column(0).take(pa.array(rows[0], pa.int32()))
-                yield pa.RecordBatch.from_arrays([docs, pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.float64()), pa.array(rows[4], pa.bool_())], ["doc", "line_no", "lang", "confidence", "main"])
+                kinds = (pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([docs, *(pa.array(r, t) for r, t in zip(rows[1:], kinds))], ["doc", "line_no", "lang", "confidence", "ambiguous", "label_right"])
 
     return run
 
 
 def languages(docs: DataFrame, doc_id: str, text: str, label: str, model: Model | None = None) -> DataFrame:
-    """``<doc_id>, line_no, lang, confidence, label_right``: of each document with running words its main language, with
-    line_no -1, and of each of its lines that is in another one that language.
+    """``<doc_id>, line_no, lang, confidence, ambiguous, label_right``: of each document with running words its main
+    language, with line_no -1, and of each of its lines that is nearer to another one that language.
 
     ``confidence`` of a line is the gap between the two nearest codewords, that of a document its main language's share.
-    ``label_right`` tells for line_no -1 whether the label names the main language. Null, empty and blank texts and
-    lines of figures and signs give no rows; repeated rows come out once. The fit uses a bounded sample.
+    ``ambiguous`` marks lines whose gap is under ``CONFIDENT``, such as those in a language the model doesn't know, and
+    documents whose main language has under half. ``label_right`` tells for line_no -1 whether the label names the main
+    language. Null, empty and blank texts and lines of figures and signs give no rows; repeated rows come out once. The
+    fit uses a bounded sample; the texts themselves are not shuffled.
     """
     model = model or fit(docs, text, label)
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), label_language(F.col(label)).alias("label")).filter("text is not null").distinct()
-    found = rows.select("doc", "text").mapInArrow(_detector(model), _SEGMENTS.format(kind=kind))
-    labels = rows.select(F.col("doc").alias("_d"), "label").distinct()
-    joined = found.join(labels, found["doc"].eqNullSafe(labels["_d"]))
-    right = F.when(F.col("main"), F.coalesce(F.col("label") == F.col("lang"), F.lit(False)))
-    return joined.select(F.col("doc").alias(doc_id), "line_no", "lang", F.round("confidence", 4).alias("confidence"), right.alias("label_right")).distinct()
+    rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), label_language(F.col(label)).alias("label")).filter("text is not null")
+    found = rows.mapInArrow(_detector(model), _SEGMENTS.format(kind=kind))
+    return found.select(F.col("doc").alias(doc_id), "line_no", "lang", F.round("confidence", 4).alias("confidence"), "ambiguous", "label_right").distinct()
 
 
 def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,7 +205,7 @@ def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p10_languages(spark, sf).filter("line_no >= 0 or not label_right").select("doc_id", "line_no", "lang")
+    return p10_languages(spark, sf).filter("line_no >= 0 and not ambiguous or not label_right").select("doc_id", "line_no", "lang")
 
 
 QUERIES = {"p10_found": p10_found, "p10_languages": p10_languages}

@@ -160,5 +160,10 @@ def test_languages(spark):
     rows = p10_language.languages(df, "doc_id", "text", "lang").filter("line_no >= 0 or not label_right").collect()
     assert sorted((r.doc_id, r.line_no, r.lang) for r in rows) == [(900, 3, "de"), (901, -1, "fr"), (902, -1, "es"), (906, -1, "ru")]
     assert p10_language.languages(df.limit(0), "doc_id", "text", "lang").count() == 0
+    # a line in a language that the model doesn't know comes out, marked
+    strange = spark.createDataFrame([(1, docs[0][1] + "\nKaksi vanhaa leipuria kantoi jauhoja myllyltä kotiin", "en")], "doc_id long, text string, lang string")
+    known = p10_language.fit(df, "text", "lang")
+    odd = p10_language.languages(strange, "doc_id", "text", "lang", known).filter("line_no = 3").collect()
+    assert len(odd) <= 1 and all(r.ambiguous == (r.confidence < p10_language.CONFIDENT) for r in odd)
     code = p10_language.codewords()
     assert min((code[i] != code[j]).sum() for i in range(9) for j in range(i)) >= 5
