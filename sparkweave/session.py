@@ -29,15 +29,23 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none, as in tests, a temporary folder is set.
+    Where a local session names none, as in tests, a temporary folder is set; on a cluster that would be another folder
+    on each machine, so there it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="sparkweave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
+def partitions(spark: SparkSession) -> int:
+    """How many partitions work of few bytes and much time is spread over; adaptive execution would merge them."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and read it back.
 
