@@ -1,14 +1,18 @@
 """The default annotator, by rules: tokens with part of speech, noun chunks, names, and relation candidates.
 
-It stands in for language models behind the same frames; whatever gives these frames can take its place.
+It stands in for language models behind the same frames; whatever gives these frames (``Annotator``) can take its place.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.functions.text import lemma_key
+from sparkweave.session import partitions
 
 #: Word lists of the default annotator.
 PRONOUNS = "it that they those we which who he she i you this these".split()
@@ -67,7 +71,9 @@ def tokens(chunks: DataFrame) -> DataFrame:
     words = F.flatten(
         F.transform(F.split("text", "\n"), lambda line, i: F.transform(F.filter(F.split(line, BLANKS), lambda w: w != ""), lambda w, k: F.struct(i.alias("sent_id"), k.alias("at"), w.alias("word"))))
     )
-    each = chunks.filter("text is not null").select("doc_seq", "chunk_uid", F.posexplode(words).alias("tok_i", "w"))
+    # by a hash of the id: by the id itself an exchange that is there already, and merged by its few bytes, would be taken
+    spread = chunks.filter("text is not null").select("doc_seq", "chunk_uid", "text").repartition(partitions(chunks.sparkSession), F.xxhash64("chunk_uid"))
+    each = spread.select("doc_seq", "chunk_uid", F.posexplode(words).alias("tok_i", "w"))
     each = each.select("doc_seq", "chunk_uid", "w.sent_id", "tok_i", "w.at", F.regexp_replace("w.word", EDGES, "").alias("text"))
     each = each.withColumn("pos", part_of_speech(F.col("text"), F.col("at"))).withColumn("lemma", lemma_of(F.col("text"), F.col("pos")))
     return each.withColumn("key", lemma_key(F.col("pos"), F.col("lemma")))
@@ -125,3 +131,65 @@ def relation_candidates(ents: DataFrame) -> DataFrame:
     gap = F.greatest(F.abs(F.col("t_start") - F.col("h_start")), F.lit(1))
     score = F.bround(F.lit(1.0) / (1 + gap / 10.0), 3)
     return pairs.withColumn("score", score).filter("score >= 0.5").select("chunk_uid", "sent_id", "h_start", "h_end", "t_start", "t_end", "label", "score")
+
+
+#: Labels that pairs of noun chunks may have for the sake of completeness, but that are never kept.
+STOP_RELATIONS = ["has part"]
+MIN_SCORE = 0.5
+
+
+def pairwise_relations(chunked: DataFrame, names: DataFrame) -> DataFrame:
+    """``chunk_uid, sent_id, h_start, h_end, t_start, t_end, label, score``: of each two noun chunks of a sentence, the
+    earlier one first, the relation inferred for them, if its score is a half or more and it isn't "has part".
+
+    Inferred by rules in place of a model: "has part" where one chunk's words are among the other's; else the first
+    relation that the chunks' types by the gazetteer ``names`` allow, else the one of any types. The score falls with
+    the distance. Ties don't occur, as a pair has one relation; repeated spans count once.
+    """
+    types = F.create_map(*[F.lit(x) for kv in TYPES.items() for x in kv])
+    once = chunked.select("chunk_uid", "sent_id", "span_start", "span_end", "key", F.lower("text").alias("name")).dropDuplicates(["chunk_uid", "span_start", "span_end"])
+    typed = once.join(names, "name", "left").withColumn("type", F.coalesce(F.element_at(types, F.col("label")), F.lit(UNTYPED)))
+    side = lambda c: typed.select("chunk_uid", "sent_id", *[F.col(x).alias(f"{c}_{x}") for x in ("span_start", "span_end", "key", "type")])
+    pairs = side("h").join(side("t"), ["chunk_uid", "sent_id"]).filter("(h_span_start, h_span_end) < (t_span_start, t_span_end)")
+    allowed = F.lit(None).cast("string")
+    for label, (heads, tails) in sorted(RE_LABELS.items(), reverse=True):
+        if heads:
+            allowed = F.when(F.col("h_type").isin(heads) & F.col("t_type").isin(tails), label).otherwise(allowed)
+    within = lambda a, b: F.size(F.array_except(F.split(a, " "), F.split(b, " "))) == 0
+    label = F.when(within("h_key", "t_key") | within("t_key", "h_key"), "has part").otherwise(F.coalesce(allowed, F.lit("no_relation")))
+    gap = F.greatest(F.col("t_span_start") - F.col("h_span_end"), F.lit(1))
+    scored = pairs.withColumn("label", label).withColumn("score", F.bround(F.lit(1.0) / (1 + gap / 10.0), 3))
+    kept = scored.filter((F.col("score") >= MIN_SCORE) & ~F.col("label").isin(STOP_RELATIONS))
+    return kept.select("chunk_uid", "sent_id", F.col("h_span_start").alias("h_start"), F.col("h_span_end").alias("h_end"), F.col("t_span_start").alias("t_start"), F.col("t_span_end").alias("t_end"), "label", "score")
+
+
+class Annotator(Protocol):
+    """What the pipeline asks of an annotator; chunks are ``doc_seq, chunk_uid, text``, and frames are those of this module."""
+
+    def tokens(self, chunks: DataFrame) -> DataFrame: ...
+
+    def noun_chunks(self, toks: DataFrame) -> DataFrame: ...
+
+    def named_entities(self, toks: DataFrame) -> DataFrame: ...
+
+    def relations(self, ents: DataFrame) -> DataFrame: ...
+
+
+@dataclass
+class RuleAnnotator:
+    """The default: rules, and names from a gazetteer (``name, label``); without one no names are found."""
+
+    names: DataFrame | None = None
+
+    def tokens(self, chunks: DataFrame) -> DataFrame:
+        return tokens(chunks)
+
+    def noun_chunks(self, toks: DataFrame) -> DataFrame:
+        return noun_chunks(toks)
+
+    def named_entities(self, toks: DataFrame) -> DataFrame:
+        names = self.names if self.names is not None else toks.sparkSession.createDataFrame([], "name string, label string")
+        return named_entities(toks, names)
+
+    def relations(self, ents: DataFrame) -> DataFrame:
+        return relation_candidates(ents)

@@ -72,6 +72,14 @@ def neighbours(vectors: DataFrame, query: list[float], k: int = 10, id_col: str
     return vectors.filter(F.size(vector) == len(query)).select(id_col, F.round(cosine(F.col(vector), q), 6).alias("similarity")).orderBy(F.desc("similarity"), id_col).limit(k).filter("similarity > 0")
 
 
+def entity_neighbours(embeddings: DataFrame, key: str, k: int = 10) -> DataFrame:
+    """``key, similarity``: of trained entities (``key, vector``) the ``k`` most similar to one, itself left out, of which
+    those above 0 are kept; none if the key isn't known."""
+    own = embeddings.filter(F.col("key") == key).select("vector").first()
+    others = embeddings.filter(F.col("key") != key)
+    return neighbours(others if own else others.limit(0), own["vector"] if own else [0.0], k, "key", "vector")
+
+
 def train_entities(bags: DataFrame, size: int = 50, seed: int = 7) -> Word2VecModel | None:
     """Embeddings of keys from sentence bags, the window as wide as the longest bag; None without bags.
 

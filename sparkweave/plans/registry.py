@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -95,12 +96,54 @@ def compound_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cooccurrence_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.cooccurrence_edges(kg.load_corpus(spark, sf).entities)
+    return graph.cooccurrence_edges(kg.with_missing_ends(kg.load_corpus(spark, sf)))
 
 
 def relation_edges(spark: SparkSession, sf: str) -> DataFrame:
     corpus = kg.load_corpus(spark, sf)
-    return graph.relation_edges(corpus.relations, corpus.entities)
+    return graph.relation_edges(corpus.relations, kg.with_missing_ends(corpus))
+
+
+def relation_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities that ends of relations bring in; the delivered relations' ends that are no entity are those without key.
+
+    Relations between noun chunks, shifted by a word, are added so that there are ends to be made.
+    """
+    corpus = kg.load_corpus(spark, sf)
+    return kg.missing_entities(replace(corpus, relations=_shifted(corpus.relations))).select("chunk_uid", "sent_id", "span_start", "span_end", "key", "text", "label", "promoted", "made")
+
+
+def _shifted(rels: DataFrame) -> DataFrame:
+    """Relations, and each once more from the word before its head to its tail."""
+    return rels.unionByName(rels.withColumn("h_start", F.col("h_start") - 1).filter("h_start >= 0"))
+
+
+def pairwise_relations(spark: SparkSession, sf: str) -> DataFrame:
+    corpus = kg.load_corpus(spark, sf)
+    return annotate.pairwise_relations(annotate.noun_chunks(corpus.tokens), annotate.gazetteer(read_table(spark, sf, "entities")))
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).select(F.col("doc_id").alias("page_id"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("url"), as_page(F.col("text")).alias("html"))
+
+
+def page_corpus(spark: SparkSession, sf: str) -> kg.Corpus:
+    """A corpus made of pages by the default annotator: the documents' texts as pages, names from the delivered mentions."""
+    return kg.corpus_from_pages(_pages(spark, sf), annotate.RuleAnnotator(materialize(annotate.gazetteer(read_table(spark, sf, "entities")), "kg-names")))
+
+
+def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return kg.chunk_pages(_pages(spark, sf))
+
+
+def page_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return page_corpus(spark, sf).entities.select("chunk_uid", "span_start", "span_end", "sent_id", "key", "text", "label", "promoted")
+
+
+def kg_from_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The nodes of the graph that is built from pages."""
+    g = kg.lexical_graph(page_corpus(spark, sf), with_edges=False)
+    return overlay.overlay_nodes(g.nodes, g.corpus.chunks)
 
 
 def resolved_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +157,7 @@ def _graph(spark: SparkSession, sf: str) -> tuple[kg.Graph, DataFrame]:
 
 def pagerank_fixed20(spark: SparkSession, sf: str) -> DataFrame:
     g, edges = _graph(spark, sf)
-    return rank.pagerank(g.nodes, edges).withColumn("pagerank", F.round("pagerank", 9))
+    return rank.pagerank(g.nodes, edges).select("doc_seq", "node_id", F.round("pagerank", 9).alias("pagerank"))
 
 
 def _striped(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,7 +201,7 @@ def promotion_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def sentence_bags(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.sentence_bags(kg.load_corpus(spark, sf).entities)
+    return graph.sentence_bags(kg.with_missing_ends(kg.load_corpus(spark, sf)))
 
 
 def entity_word2vec(spark: SparkSession, sf: str) -> DataFrame:
@@ -178,9 +221,7 @@ def viz_lexical(spark: SparkSession, sf: str) -> DataFrame:
 
 def kg_json(spark: SparkSession, sf: str) -> DataFrame:
     parts = kg.build_kg(kg.load_corpus(spark, sf))
-    both = parts["kg_edges"].select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "rel", "prob", F.lit(None).cast("double").alias("weight"))
-    edges = both.unionByName(parts["within"].select("src", "dst", "rel", F.lit(None).cast("double").alias("prob"), "weight"))
-    return sinks.graph_json(parts["kg_nodes"], edges)
+    return sinks.graph_json(parts["kg_nodes"], kg.graph_links(parts))
 
 
 def communities_lpa(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,7 +259,7 @@ _ALL: list[Query] = [
     scrub_text, html_paragraphs, sentence_split, chunk_documents, chunk_numbering, token_annotations, noun_chunk_spans, gazetteer_ner, relation_candidates, entity_dedupe, lemma_dictionary,
     lemma_nodes, entity_nodes, lookback_edges, compound_edges, cooccurrence_edges, relation_edges, resolved_edges, pagerank_fixed20, rank_stripes, textrank, top_entities, overlay_nodes,
     overlay_edges, within_edges, pronoun_qc, promotion_report, sentence_bags, entity_word2vec, viz_overlay, viz_lexical, kg_json, communities_lpa, vector_topk, vector_neighbours_positive,
-    mean_similarity, chunk_vectors, chunk_search,
+    mean_similarity, chunk_vectors, chunk_search, relation_backfill, pairwise_relations, page_chunks, page_entities, kg_from_pages,
 ]
 
 

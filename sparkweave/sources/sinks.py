@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import json
 
+from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,22 @@ def open_chunk_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def save_embeddings(model: Word2VecModel, path: str) -> None:
+    """Embeddings of keys, in place of what is there; one row a key as Parquet, so the vocabulary may have any size."""
+    model.getVectors().select("word", F.col("vector").alias("v")).transform(_as_array).write.mode("overwrite").parquet(path)
+
+
+def _as_array(df: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return df.select(F.col("word").alias("key"), vector_to_array("v").alias("vector"))
+
+
+def load_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """``key, vector array<double>`` as saved, for ``vectors.entity_neighbours``."""
+    return spark.read.parquet(path)
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``part, json``: one line of JSON for each node and edge, keys in order, nulls left out; for graphs of any size."""
     line = lambda df, part: df.select(F.lit(part).alias("part"), F.to_json(F.struct(*sorted(df.columns))).alias("json"))

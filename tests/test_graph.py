@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.operators import communities, components, graph, overlay, rank, skew, vectors
 from sparkweave.operators.ordered_ids import ordered_ids
+from sparkweave.plans import kg
 
 TOKENS = "doc_seq long, chunk_uid long, sent_id int, tok_i int, text string, pos string, key string"
 MENTIONS = "doc_seq long, chunk_uid long, span_start int, span_end int, key string, text string, label string, sent_id int, loaded_at timestamp"
@@ -38,6 +39,14 @@ def corpus(rng: random.Random, docs: int = 3):
             ents += [(doc, uid, a, b, k, t, lab, s, None) for a, b, k, t, lab, s in spans]
             if len(spans) > 1:
                 rels += [(uid, i, *h[:2], *t[:2], rng.choice(["parent", "followed by"]), rng.choice([0.4, 0.9, 0.9])) for i in range(rng.randrange(0, 3)) for h, t in [rng.sample(spans, 2)]]
+            if spans and rng.random() < 0.6:  # an end that is no entity, maybe a stop key
+                sent = rng.choice(spans)
+                free = [t for t in toks if t[1] == uid and (t[3], t[3] + 1) not in [s[:2] for s in spans]]
+                if free:
+                    t = rng.choice(free)
+                    ends = [sent[:2], (t[3], t[3] + 1)]
+                    rng.shuffle(ends)
+                    rels.append((uid, 9, *ends[0], *ends[1], "child", rng.choice([0.3, 0.7])))
             uid += 1
     return toks, ents, rels
 
@@ -78,7 +87,32 @@ def stepwise(toks, ents, rels):
                 if n["label"] in (None, "NP"):
                     n["label"] = e[6]
             at = {(e[2], e[3]): known.index(e[4]) for e in own}
+            made = {(e[2], e[3]) for e in ents if e[1] == uid}
             for r in sorted((r for r in set(rels) if r[0] == uid), key=lambda r: (-r[7], r[1], *r[2:6], r[6])):
+                for span in (r[2:4], r[4:6]):
+                    if span in made:
+                        continue
+                    made.add(span)
+                    part = [t for t in toks if t[1] == uid and span[0] <= t[3] < span[1]]
+                    key, text = " ".join(t[6] for t in part), " ".join(t[4] for t in part)
+                    if key in graph.STOP_KEYS:
+                        continue
+                    e = (doc, uid, *span, key, text, "", part[0][2])
+                    own.append(e)
+                    new_word = key not in known
+                    i = at[span] = ident(key)
+                    if (doc, i) not in nodes:
+                        nodes[doc, i] = {"key": key, "kind": "Entity", "label": "", "pos": "NP", "text": text, "chunk": uid, "count": 1}
+                        for x in key.split(" "):
+                            if x in known and (doc, known.index(x)) in nodes:
+                                edges[pair(i, known.index(x))] = ("COMPOUND_ELEMENT_OF", None)
+                        if new_word:
+                            continue
+                    n = nodes[doc, i]
+                    n["kind"], n["chunk"] = "Entity", uid
+                    n["count"] += 1
+                    if n["label"] in (None, "NP"):
+                        n["label"] = ""
                 if r[2:4] in at and r[4:6] in at:
                     edges[pair(at[r[2:4]], at[r[4:6]])] = (r[6].replace(" ", "_").upper(), round(r[7], 3))
             for sent in sorted({e[7] for e in own}):
@@ -97,9 +131,9 @@ def test_closed_form(spark):
         t, e, r = spark.createDataFrame(toks, TOKENS), spark.createDataFrame(mentions, MENTIONS), spark.createDataFrame(rels, RELATIONS)
         ents = graph.dedupe_entities(e).cache()
         evs = graph.events(t, ents).cache()
-        words = graph.dictionary(evs).cache()
-        ns = graph.nodes(evs, words).cache()
-        edges = graph.resolve_edges(graph.lookback_edges(t), graph.compound_edges(ns), graph.cooccurrence_edges(ents), graph.relation_edges(r, ents), words)
+        g = kg.lexical_graph(kg.Corpus(t.select("doc_seq", "chunk_uid").distinct(), t, ents, r))
+        ns, edges = g.nodes, g.edges
+        assert {x.key for x in graph.dictionary(evs).collect()} <= {x.key for x in ns.collect()}
         want_nodes, want_edges = stepwise(toks, mentions, rels)
         got_nodes = {(x.doc_seq, x.node_id): (x.key, x.kind, x.label, x.pos, x.text, x.chunk_uid, x["count"]) for x in ns.collect()}
         # a lemma's chunk isn't looked at by anything that follows
@@ -108,12 +142,29 @@ def test_closed_form(spark):
         assert {(x.doc_seq, x.src, x.dst): (x.rel, x.prob) for x in edges.collect()} == want_edges
 
 
+def test_backfill(spark):
+    """Ends without tokens, with nulls, repeated, and of stop keys."""
+    t = spark.createDataFrame([(0, 1, 0, 0, "Red", "NOUN", "NOUN.red"), (0, 1, 0, 1, "barley", "NOUN", "NOUN.barley"), (0, 1, 1, 2, "it", "PRON", "PRON.it")], TOKENS)
+    e = graph.dedupe_entities(spark.createDataFrame([(0, 1, 0, 1, "NOUN.red", "Red", "NP", 0, None)], MENTIONS))
+    rels = [(1, 0, 0, 1, 0, 2, "parent", 0.5), (1, 0, 0, 1, 0, 2, "parent", 0.5), (1, 1, 2, 3, 0, 1, "child", 0.9), (1, 2, 7, 9, 0, 1, "child", None), (1, 3, None, 3, 0, 1, "child", 0.1), (None, 4, 0, 9, 0, 1, "child", 0.1)]
+    missing = graph.missing_ends(spark.createDataFrame(rels, RELATIONS), e)
+    assert sorted((r.chunk_uid, r.span_start, r.span_end) for r in missing.collect()) == [(1, 0, 2), (1, 2, 3), (1, 7, 9)]
+    got = {(r.key, r.text, r.label, r.promoted, r.sent_id) for r in graph.backfilled(missing, t).collect()}
+    assert got == {("NOUN.red NOUN.barley", "Red barley", "", True, 0), ("PRON.it", "it", "", False, 1)}
+    assert graph.backfilled(missing.limit(0), t).count() == 0
+
+
 def test_lookback(spark):
     for seq, want in (("abcde", "ab bc cd de ac bd ce ad be"), ("a", ""), ("aa", "aa"), ("aba", "ab aa")):
         t = spark.createDataFrame([(0, 0, 0, i, c, "NOUN", c) for i, c in enumerate(seq)], TOKENS)
         assert sorted(x.ka + x.kb for x in graph.lookback_edges(t).collect()) == sorted(want.split())
 
 
+def test_pronoun_keys(spark):
+    words = spark.createDataFrame([("PRON.he", 0), ("NOUN.barley", 1), ("ADJ.red PRON.she", 2), (None, 3)], "key string, node_id long")
+    assert sorted(r.node_id for r in overlay.pronoun_keys(words).collect()) == [0, 2]
+
+
 def test_dedupe_edges(spark):
     rows = [(0, 1, 0, 1, "NOUN.x", "x", None, 0, None), (0, 1, 0, 1, "NOUN.x", "x", "Food", 0, None), (0, 1, 2, 3, "PRON.it", "it", "NP", 0, None), (0, 1, 3, 4, None, "q", "NP", 0, None), (0, None, 3, 4, "k", "q", "NP", 0, None)]
     got = {r.key: (r.label, r.promoted) for r in graph.dedupe_entities(spark.createDataFrame(rows, MENTIONS)).collect()}
@@ -141,7 +192,7 @@ def test_bins_and_stripes(spark):
     assert [len(r[0]) for r in df.select(rank.bins(F.col("n"))).collect()] == [1, 3, 4, 6, 6, 9, 12, 16, 18, 28, 37]
     v = spark.createDataFrame([([0.1, 0.1, 0.5, 1.0], x) for x in (0.1, 0.1, 0.5, 1.0)], "vs array<double>, x double")
     points = F.array(*[F.lit(i / 5) for i in range(6)])
-    assert [r[0] for r in v.select(rank.stripe(F.col("x"), F.col("vs"), points)).collect()] == [2, 2, 4, 5]
+    assert [r[0] for r in v.select(rank.stripe(F.col("x"), rank.quantiles(F.col("vs"), points))).collect()] == [2, 2, 4, 5]
 
 
 def test_one_node_document(spark):

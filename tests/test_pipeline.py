@@ -8,7 +8,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from sparkweave.operators import annotate, overlay
+from sparkweave import session
+from sparkweave.operators import annotate, overlay, vectors
 from sparkweave.plans import kg, registry
 from sparkweave.sources import sinks
 from sparkweave.streaming.ingest import stream_chunks
@@ -78,6 +79,60 @@ def test_chunks_without_url(spark, tmp_path):
     assert {(r.id, r.url) for r in overlay.overlay_nodes(g.nodes, corpus.chunks).filter("kind = 'Chunk'").collect()} == {("chunk_1", "u"), ("chunk_2", None)}
 
 
+def test_pages_to_graph(spark, tmp_path):
+    """From pages to all files: repeated and empty pages, null html, extra columns, another annotator."""
+    html = "<p>Anna Lund of Kelp Works ate red barley.</p><p>It was said that Anna Lund met Otto Berg in the red barley.</p>"
+    rows = [(1, "u", html), (1, "u", html), (2, "v", None), (3, "w", ""), (4, None, "<p>No red barley was with Otto Berg.</p>"), (None, "x", html)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'q' as text", "1 as doc_seq")
+    names = spark.createDataFrame([("anna lund", "Person"), ("kelp works", "Company"), ("otto berg", "Person")], "name string, label string")
+    parts = kg.main(spark, pages, str(tmp_path / "out"), annotate.RuleAnnotator(names), str(tmp_path / "g.html"))
+    nodes = {r.key: (r.text, r.label, r["count"]) for r in parts["kg_nodes"].filter("kind = 'Entity'").collect()}
+    assert nodes["PROPN.otto PROPN.berg"][:2] == ("Otto Berg", "Person") and "PRON.it" not in nodes
+    assert parts["kg_nodes"].filter("kind = 'Chunk'").count() == 3
+    rel = {r.rel for r in parts["kg_edges"].collect()}
+    assert rel & {"PARENT", "SPOUSE", "CHILD", "FOLLOWED_BY"} and "NO_RELATION" not in rel
+    lines = spark.read.text(str(tmp_path / "out/graph"))
+    assert lines.filter("part = 'node'").count() == parts["kg_nodes"].count() and "Otto Berg" in (tmp_path / "g.html").read_text()
+    assert sinks.open_chunk_table(spark, str(tmp_path / "out/chunks")).count() == 3
+    saved = sinks.load_embeddings(spark, str(tmp_path / "out/embeddings"))
+    model = vectors.train_entities(parts["bags"])
+    assert {r.key: r.vector for r in saved.collect()} == {r.word: list(r.vector) for r in model.getVectors().collect()}
+    near = vectors.entity_neighbours(saved, "PROPN.otto PROPN.berg", 3).collect()
+    assert all(r.similarity > 0 and r.key != "PROPN.otto PROPN.berg" for r in near) and vectors.entity_neighbours(saved, "nobody").count() == 0
+
+    class Words(annotate.RuleAnnotator):
+        def noun_chunks(self, toks):
+            return super().noun_chunks(toks).limit(0)
+
+    only = kg.corpus_from_pages(pages, Words(names))
+    assert {r.key for r in only.entities.collect()} == {"PROPN.anna PROPN.lund", "PROPN.otto PROPN.berg"} | ({"PROPN.kelp PROPN.works"} & {r.key for r in only.entities.collect()})
+    assert kg.lexical_graph(kg.corpus_from_pages(pages.limit(0), annotate.RuleAnnotator())).edges.count() == 0
+
+
+def test_pairwise_relations(spark):
+    spans = [(1, 0, 0, 2, "PROPN.anna PROPN.lund", "Anna Lund"), (1, 0, 3, 5, "PROPN.kelp PROPN.works", "Kelp Works"), (1, 0, 6, 7, "PROPN.kelp", "Kelp"), (1, 0, 30, 31, "NOUN.far", "far"), (1, 1, 40, 41, "NOUN.rye", "rye")]
+    df = spark.createDataFrame(spans + spans[:1], "chunk_uid long, sent_id int, span_start int, span_end int, key string, text string").selectExpr("*", "1 as label2")
+    names = spark.createDataFrame([("anna lund", "Person"), ("kelp works", "Company")], "name string, label string")
+    got = {(r.h_start, r.t_start): r.label for r in annotate.pairwise_relations(df, names).collect()}
+    assert got == {(0, 3): "co_founder", (0, 6): "no_relation"}
+    assert annotate.pairwise_relations(df.limit(0), names).count() == 0
+
+
+def test_shared_folder_is_asked_for():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master = "spark://somewhere:7077"
+        getConf = staticmethod(lambda: Conf)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Session)
+
+
 def test_stream_and_chunk_table(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "<p>One. Two.</p><p>Three.</p>"), (2, "v", None), (3, "w", "")], "page_id long, url string, html string")
     pages.write.parquet(str(tmp_path / "pages"))
