@@ -17,7 +17,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.session import materialize
+from sparkweave.session import materialize, partitions
 from sparkweave.sources.tables import read_table
 
 #: The folder of the tokenizers' files, and the vocabulary.
@@ -147,7 +147,7 @@ def token_ids(docs: DataFrame, id_col: str, text_col: str, path: str = f"{TOKENI
     cut = materialize(docs.select(F.col(id_col).alias("_id"), F.monotonically_increasing_id().alias("_row"), words_col.alias("_words")), "p8-cut")
     counted = cut.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n_rows"))
     # a fixed number: few bytes, but much work for each of them
-    counted = counted.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "word")
+    counted = counted.repartition(partitions(docs.sparkSession), F.xxhash64("word"))
     words = materialize(counted.select("word", "n_rows", encode_word(F.col("word"), ranks).alias("ids")), "p8-words")
     least = _head_count(words, head)
     known = _head(words, least)
