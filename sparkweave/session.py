@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import platform
+import resource
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,9 +66,9 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleanup() -> None:
-    """Delete every table that ``materialize`` wrote in this process; results that read them end with it."""
-    while _written:
+def cleanup(since: int = 0) -> None:
+    """Delete the tables that ``materialize`` wrote in this process, from the ``since``-th on; results that read them end with it."""
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             jvm = spark._jvm
@@ -72,4 +78,29 @@ def cleanup() -> None:
             pass
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Within it tables may be written; at its end, when results have been taken, they are deleted."""
+    since = len(_written)
+    try:
+        yield
+    finally:
+        cleanup(since)
+
+
+def diagnosed(spark: SparkSession, step: Callable[[], Any]) -> tuple[Any, dict[str, Any]]:
+    """What ``step`` gives, with its seconds, the peak memory of this process, the JVM's heap in use, and versions.
+
+    What the cluster did is in Spark's event log; plans are shown by ``DataFrame.explain("formatted")``.
+    """
+    start = time.time()
+    result = step()
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    return result, {
+        "seconds": round(time.time() - start, 3), "python_peak_mb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024,
+        "jvm_used_mb": (heap.totalMemory() - heap.freeMemory()) >> 20, "spark": spark.version, "python": platform.python_version(),
+        "master": spark.sparkContext.master, "shuffle_partitions": partitions(spark), "adaptive": spark.conf.get("spark.sql.adaptive.enabled"),
+    }
+
+
 atexit.register(cleanup)

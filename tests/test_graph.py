@@ -216,6 +216,10 @@ def test_components_and_labels(spark):
     nodes = spark.createDataFrame([(f"n{i:03}",) for i in range(41)] + [("x",), ("y",), ("z",)], "node string")
     got = {r.node: r.component for r in components.connected_components(nodes, spark.createDataFrame(chain, "a string, b string")).collect()}
     assert {got[f"n{i:03}"] for i in range(41)} == {"n000"} and got["y"] == "x" and got["z"] == "z"
+    hub = spark.createDataFrame([("h", f"m{i}") for i in range(3000)], "a string, b string")
+    got = components.connected_components(hub.select(F.col("b").alias("node")), hub).collect()
+    assert len(got) == 3000 and {r.component for r in got} == {"h"}
+    assert components.connected_components(nodes.limit(0), hub.limit(0)).count() == 0
     two = [(a, b) for g in ((0, 1, 2), (5, 6, 7)) for a in g for b in g if a < b] + [(2, 5)]
     got = {r.node: r.community for r in communities.label_propagation(spark.createDataFrame(two, "src long, dst long")).collect()}
     assert got[0] == got[1] and got[6] == got[7] and got[0] != got[7]

@@ -118,6 +118,15 @@ def test_pairwise_relations(spark):
     assert annotate.pairwise_relations(df.limit(0), names).count() == 0
 
 
+def test_released_and_diagnosed(spark):
+    with session.released():
+        table = session.materialize(spark.range(5), "t")
+        n, seen = session.diagnosed(spark, table.count)
+        path = session._written[-1][1]
+    assert n == 5 and seen["seconds"] >= 0 and seen["master"].startswith("local") and seen["jvm_used_mb"] > 0
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
 def test_shared_folder_is_asked_for():
     class Conf:
         get = staticmethod(lambda *_: None)
