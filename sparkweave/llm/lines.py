@@ -22,8 +22,11 @@ def same_line(line: Column) -> Column:
 
 
 def chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """``uid, url, text`` of chunks, each delivery's repetition once; rows with a null uid or text are left out."""
-    return read_table(spark, sf, "text_chunk").select("uid", "url", "text").filter("uid is not null and text is not null").distinct()
+    """``uid, url, text`` of chunks as delivered, repetitions and all; rows with a null uid or text are left out.
+
+    Whatever reads them counts repetitions once by ids and hashes, so that texts aren't shuffled for it.
+    """
+    return read_table(spark, sf, "text_chunk").select("uid", "url", "text").filter("uid is not null and text is not null")
 
 
 def chunk_lines(chunks: DataFrame) -> DataFrame:
