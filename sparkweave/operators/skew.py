@@ -12,22 +12,26 @@ HOT_SHARE = 1e-3
 SALTS = 64
 
 
-def skew_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, how: str = "inner") -> DataFrame:
+def skew_lookup(left: DataFrame, right: DataFrame, key: str, weight: str, spread: Column, how: str = "inner", sizes: tuple[int, int] | None = None) -> DataFrame:
     """Join ``left`` to ``right``, which has one row per ``key`` and in ``weight`` how many rows ``left`` has of it.
 
     Rows of hot keys are spread over ``SALTS`` tasks by the hash of ``spread``, and the few hot rows of ``right`` are
-    repeated for each salt. The set of hot keys is broadcast; it has at most ``1 / HOT_SHARE`` members. Null keys
-    match nothing. ``weight`` isn't in the result.
+    repeated for each salt. The set of hot keys is broadcast; it has at most ``1 / HOT_SHARE`` members. Where there is
+    none it is a plain join. Null keys match nothing. ``weight`` isn't in the result. ``sizes`` has its sum and greatest
+    value, where they are known.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    hot = right.filter(F.col(weight) > max(1000.0, total * HOT_SHARE)).select(F.col(key).alias("_hot"))
+    total, most = sizes or right.agg(F.sum(weight), F.max(weight)).first()
+    least = max(1000.0, (total or 0) * HOT_SHARE)
+    if (most or 0) <= least:
+        return left.join(right.drop(weight), key, how)
+    hot = right.filter(F.col(weight) > least).select(F.col(key).alias("_hot"))
     hot_l = F.broadcast(hot)
     salted_l = left.join(hot_l, left[key] == F.col("_hot"), "left").withColumn(
         "_salt", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
     )
     salted_r = right.withColumn(
         "_salt",
-        F.explode(F.when(F.col(weight) > max(1000.0, total * HOT_SHARE), F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))),
+        F.explode(F.when(F.col(weight) > least, F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))),
     ).drop(weight)
     return salted_l.drop("_hot").join(salted_r, [key, "_salt"], how).drop("_salt")
 
