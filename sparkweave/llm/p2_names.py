@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,8 @@ def forms(text: str, body: bool | None = None) -> list[tuple[str, str, str, str,
     if not words:
         return []
     full = [ABBREVIATIONS.get(w, w) for w in words]
+    if body:
+        full = [_kind_word(w) for w in full]
     if "u" in full and len(full) > 1 and (full[-1] == "u" and not comma or any(w in BODY for w in full) or full[:2] == ["u", "of"]):
         full = ["university" if w == "u" else w for w in full]
     raw = [w for w in re.split(r"[\s,]+", text) if w]
@@ -165,6 +168,22 @@ class Trie:
         return found
 
 
+#: Letters from which a word of a body's name may be a slip in a word of its kind.
+LONG_KIND = 7
+_KINDS = Trie()
+for _word in BODY:
+    _KINDS.add(_word)
+
+
+@lru_cache(maxsize=1 << 14)
+def _kind_word(word: str) -> str:
+    """A word that names a body's kind for one that is an edit from it alone."""
+    if word in BODY or len(word) < LONG_KIND:
+        return word
+    near = [w for w in _KINDS.near(word) if len(w) >= LONG_KIND]
+    return near[0] if len(near) == 1 else word
+
+
 def _search(rows: pa.Table) -> pa.Table:
     """Of one shard, neighbours of all its searching words among those it holds; words are turned in shards of endings."""
     trie, space = Trie(), rows["space"][0].as_py()
@@ -240,7 +259,7 @@ def name_groups(names: DataFrame, column: str, label: str | None = None) -> Data
     others = main.filter("kind <> 'P'")
     chosen = materialize(people.select(*read.columns).unionByName(others), "p2-chosen")
     aliases = chosen.select("text", "kind", _key().alias("node"), F.explode("more").alias("alias"))
-    spaces = chosen.select("space", "body").unionByName(aliases.select(F.expr("split(alias, '\t')[0]").alias("space"), F.expr("split(alias, '\t')[1]").alias("body"))).filter("space not like 'A:%'")
+    spaces = chosen.select("space", "body").unionByName(aliases.select(F.expr("split(alias, '\t')[0]").alias("space"), F.expr("split(alias, '\t')[1]").alias("body")))
     # given and family names by themselves
     given, family = F.expr("substring_index(body, ' ', 1)"), F.expr("substr(body, instr(body, ' ') + 1)")
     in_two = spaces.filter("space = 'P'").select(F.explode(F.array(F.struct(F.lit("G").alias("space"), given.alias("body")), F.struct(F.lit("F").alias("space"), family.alias("body")))).alias("w")).select("w.*")
@@ -267,8 +286,12 @@ def name_groups(names: DataFrame, column: str, label: str | None = None) -> Data
     edges = edges.unionByName(one.select(F.col("node").alias("a"), F.col("m.alias").alias("b")))
     # names of the same words in another order meet at their sorted words
     edges = edges.unionByName(aliases.filter("alias like 'W\t%' and kind in ('P', 'T')").select(F.col("node").alias("a"), F.col("alias").alias("b")))
+    # a body with its kind as an acronym is linked to those whose words have it, the rest of the name within an edit
     acronyms = nodes.filter("node like 'A:%'")
-    edges = edges.unionByName(aliases.join(acronyms.withColumnRenamed("node", "alias"), "alias", "left_semi").select(F.col("node").alias("a"), F.col("alias").alias("b")))
+    met = near.filter("space like 'A:%'").select(F.explode(F.array(F.struct(F.concat_ws("\t", "space", "a").alias("a"), F.concat_ws("\t", "space", "b").alias("b")), F.struct(F.concat_ws("\t", "space", "b").alias("a"), F.concat_ws("\t", "space", "a").alias("b")))).alias("p")).select("p.*")
+    met = met.join(acronyms.withColumnRenamed("node", "a"), "a", "left_semi")
+    reached = acronyms.unionByName(met.select(F.col("b").alias("node"))).distinct()
+    edges = edges.unionByName(met.select("a", "b")).unionByName(aliases.join(reached.withColumnRenamed("node", "alias"), "alias", "left_semi").select(F.col("node").alias("a"), F.col("alias").alias("b")))
     groups = materialize(connected_components(nodes, edges), "p2-groups")
 
     # initials and lone family names: by the same key, else by one within an edit, if all that fit are one person

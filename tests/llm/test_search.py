@@ -55,6 +55,7 @@ def test_orders_and_short_forms(spark):
     same = [
         ["Alexander Smith"], ["Alexandra Smith"], ["Alex Smith"], ["Sam Holt", "Samantha Holt"], ["Maria Luisa Rossi", "Rossi Maria Luisa", "Luisa Maria Rossi", "Rossi, Maria Luisa"],
         ["Katherine Johansson", "Katerine Johanson"], ["Will Works"], ["Oskvar", "Oskvarr"],
+        ["Oskbit University of Applied Nutrition", "Oskbit Univrsity of Applied Nutrition", "Oskbitt UAN"], ["Oskbit Memorial Hospital", "Oskbit Memorial Hospitall"],
     ]
     label = lambda t: "Company" if t.startswith("Osk") else "Person"
     df = spark.createDataFrame([(t, label(t)) for g in same for t in g] + [("Will Works", None), ("Will Works", "Person")], "text string, label string")
