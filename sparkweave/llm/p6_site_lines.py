@@ -7,6 +7,7 @@ counted and lines compared only in the buckets left.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,13 +27,23 @@ BANDS, ROWS, SHINGLE, SIMILAR = 4, 2, 5, 0.8
 MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|januar|februar|märz|mai|juni|juli|oktober|dezember|janvier|février|mars|avril|juin|juillet|août|septembre|octobre|novembre|décembre|enero|febrero|marzo|abril|mayo|junio|julio|agosto|septiembre|octubre|noviembre|diciembre|janeiro|fevereiro|março|maio|junho|julho|setembro|outubro|dezembro"
 
 
+def one_of(words: list[str]) -> str:
+    """A regular expression of these words that tries each letter once, in place of each word."""
+    heads = dict.fromkeys(w[0] for w in words if w)
+    each = [re.escape(h) + one_of([w[1:] for w in words if w[:1] == h]) for h in heads]
+    return "" if not each else f"(?:{'|'.join(each)}){'?' if '' in words else ''}"
+
+
+_MONTH = one_of(sorted(MONTHS.split("|")))
+
+
 def mask(line: Column, names: bool = True) -> Column:
     """The line with numbers, dates and capitalised words that follow another word (names) put as signs.
 
     Without ``names`` equal lines have equal masks, whatever their case.
     """
-    low = same_line(F.regexp_replace(line, r"(?<=[\p{L},.] )\p{Lu}[\p{Ll}'’-]+(?: \p{Lu}[\p{Ll}'’-]+)*", "N") if names else line)
-    return F.regexp_replace(low, rf"(?:0 )?\b(?:{MONTHS})\b(?:,? 0)?", "D")
+    low = same_line(F.regexp_replace(line, r"\p{Lu}(?<=[\p{L},.] \p{Lu})[\p{Ll}'’-]+(?: \p{Lu}[\p{Ll}'’-]+)*", "N") if names else line)
+    return F.regexp_replace(low, rf"(?:0 )?\b{_MONTH}\b(?:,? 0)?", "D")
 
 
 _ODD = np.array([2 * k * 0x9E3779B97F4A7C15 + 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF | 1 for k in range(1, BANDS * ROWS + 1)], np.uint64)
