@@ -82,8 +82,8 @@ def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
 
 
-def _bucketed(bands: int):
-    """Batches with the buckets of the masked lines in place of these and of their sites; equal lines are hashed once."""
+def _bucketed(bands: int, text: bool):
+    """Batches with the buckets of the masked lines and, with ``text``, these themselves; equal lines are hashed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +92,8 @@ def _bucketed(bands: int):
             _, first, which = np.unique(batch.column(6).to_numpy(), return_index=True, return_inverse=True)
             texts = batch.column(7).take(pa.array(first)).to_pylist()
             buckets = _bands(texts, batch.column(5).to_numpy()[first].astype(np.uint64), bands)[which]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], _lists(buckets.ravel(), np.arange(0, bands * batch.num_rows + 1, bands))], ["uid", "line_no", "h1", "h2", "u", "buckets"])
+            columns = [*batch.columns[:5], _lists(buckets.ravel(), np.arange(0, bands * batch.num_rows + 1, bands)), *batch.columns[7:][: int(text)]]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "line_no", "h1", "h2", "u", "buckets", "masked"][: len(columns)])
 
     return run
 
@@ -113,13 +114,14 @@ def site_lines(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("h1", F.xxhash64("site", "norm")).withColumn("h2", F.xxhash64("norm", F.lit(7), "site"))
 
 
-def placed(lines: DataFrame, bands: int = BANDS, names: bool = True) -> DataFrame:
-    """``uid, line_no, h1, h2, u, buckets``: each place of a line with hashes of the line and the URL and the line's buckets; no text."""
+def placed(lines: DataFrame, bands: int = BANDS, names: bool = True, text: bool = False) -> DataFrame:
+    """``uid, line_no, h1, h2, u, buckets``: each place of a line with hashes of the line and the URL and the line's buckets;
+    with ``text`` the masked line too."""
     site, masked = F.xxhash64("site").alias("s"), mask(F.col("line"), names).alias("masked")
     rows = lines.select("uid", "line_no", "h1", "h2", F.xxhash64("url").alias("u"), site, masked).withColumn("m", F.xxhash64("s", "masked"))
     kind = rows.schema["uid"].dataType.simpleString()
     rows = rows.select("uid", "line_no", "h1", "h2", "u", "s", "m", "masked")
-    return rows.mapInArrow(_bucketed(bands), f"uid {kind}, line_no int, h1 long, h2 long, u long, buckets array<long>")
+    return rows.mapInArrow(_bucketed(bands, text), f"uid {kind}, line_no int, h1 long, h2 long, u long, buckets array<long>" + ", masked string" * text)
 
 
 def line_types(places: DataFrame) -> DataFrame:
@@ -168,7 +170,7 @@ def _led(rows: pa.Table) -> pa.Table:
     return pa.table({"h1": rows["h1"].take(lines), "h2": rows["h2"].take(lines), "cluster": rows["cluster"].take(leaders), "n_rows": rows["n_rows"].take(lines)})
 
 
-def _alike(types: DataFrame, lines: DataFrame, min_urls: int) -> DataFrame:
+def _alike(types: DataFrame, places: DataFrame, min_urls: int) -> DataFrame:
     """``h1, h2, cluster, n_rows`` of the lines that share a bucket with others and don't stand under enough URLs all by themselves.
 
     A bucket's first leader is the line that stands under most URLs; lines unlike it get further leaders until none is left.
@@ -177,8 +179,9 @@ def _alike(types: DataFrame, lines: DataFrame, min_urls: int) -> DataFrame:
     buckets = each.groupBy("bucket").agg(F.sum("n_urls").alias("n"), F.count(F.lit(1)).alias("n_types"), F.min("n_urls").alias("fewest"))
     shared = materialize(buckets.filter((F.col("n") >= min_urls) & (F.col("n_types") > 1) & (F.col("fewest") < min_urls)).select("bucket", "n_types"), "p6-buckets")
     members = materialize(skew_lookup(each, shared, "bucket", "n_types", F.col("h1")), "p6-members")
-    texts = lines.groupBy("h1").agg(F.min("line").alias("line")).join(members.select("h1").distinct(), "h1", "left_semi")
-    grams = materialize(texts.select("h1", mask(F.col("line")).alias("masked")).mapInArrow(_shingled, "h1 long, grams array<long>"), "p6-grams")
+    own = materialize(members.groupBy("h1").agg(F.max("n_rows").alias("n_rows")), "p6-own")
+    texts = skew_lookup(places.select("uid", "h1", "masked"), own, "h1", "n_rows", F.col("uid")).groupBy("h1").agg(F.min("masked").alias("masked"))
+    grams = materialize(texts.mapInArrow(_shingled, "h1 long, grams array<long>"), "p6-grams")
     members = members.join(grams, "h1")
     leaders = members.groupBy("bucket").agg(F.max_by(F.struct("grams", F.xxhash64("h1", "h2").alias("cluster")), F.struct("n_urls", "h1", "h2")).alias("l"), F.count(F.lit(1)).alias("n_types"))
     leaders = materialize(leaders.select("bucket", F.col("l.grams").alias("leader"), "l.cluster", "n_types"), "p6-leaders")
@@ -191,9 +194,9 @@ def _alike(types: DataFrame, lines: DataFrame, min_urls: int) -> DataFrame:
 
 
 def _together(lines: DataFrame, min_urls: int) -> DataFrame:
-    places = materialize(placed(lines), "p6-places")
+    places = materialize(placed(lines, text=True), "p6-places")
     types = materialize(line_types(places), "p6-types")
-    members = _alike(types, lines, min_urls)
+    members = _alike(types, places, min_urls)
     of_url = places.select("h1", "h2", "u").distinct().withColumn("_k", F.xxhash64("h1", "h2"))
     sets = members.groupBy(F.xxhash64("h1", "h2").alias("_k")).agg(F.collect_set("cluster").alias("clusters"), F.max("n_rows").alias("n_rows"))
     full = skew_lookup(of_url, materialize(sets, "p6-sets"), "_k", "n_rows", F.col("u")).select("u", F.explode("clusters").alias("cluster")).distinct().groupBy("cluster").count().filter(F.col("count") >= min_urls)
