@@ -4,8 +4,11 @@ The lines of a site's pages are token streams. A token is a whole line, or where
 after or before what they share. Streams are aligned one after the other into a wrapper of fixed, optional and repeated
 tokens with text between; partial wrappers of parts of a site's pages are merged in the same way. Each line is looked up
 in its site's wrapper: tokens before and after the text are the frame's, and so are bare lines that stand amid the text
-of many pages. What no wrapper settles (pages without site, tokens of too few pages, prompts amid the text) falls back
-on cues: fixed phrases of page frames.
+of many pages. A wrapper's places are judged one by one: a token that pages have twice, in a menu and as a heading say, is
+the frame's in one place and not in the other, and a token of few pages is the frame's in a place between those of its
+fixed tokens. Pages with such tokens are aligned with the wrapper, and each line takes the judgement of the place it falls
+on. What no wrapper settles (pages without site, tokens of too few pages, prompts amid the text) falls back on cues: fixed
+phrases of page frames.
 """
 
 from __future__ import annotations
@@ -17,7 +20,9 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -251,6 +256,8 @@ def forms(line: str, site: str) -> tuple[str, ...]:
 
 #: What a token is: a whole line, one with a slot of text, or the beginning of a sentence; the last bits of its number.
 WHOLE, SLOT, OPENING_OF = range(3)
+#: Token of the text between what is before, amid and after it.
+GAP = 0
 
 
 def named(site: str, token: str) -> int:
@@ -260,10 +267,13 @@ def named(site: str, token: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-Wrapper = list[list]  # token, pages with it, those with it between two stretches of text, those with it at the edge, most times on one page, 1 if bare
+#: Of each place: token, pages with it there, those with it between two stretches of text, those with it at the edge,
+#: those with it in another stretch as well, most times on one page, 1 if bare.
+Wrapper = list[list]
+
 
 def _joined(a: list, b: list) -> list:
-    return [a[0], a[1] + b[1], a[2] + b[2], a[3] + b[3], max(a[4], b[4]), max(a[5], b[5])]
+    return [a[0], *(x + y for x, y in zip(a[1:5], b[1:5])), max(a[5], b[5]), max(a[6], b[6])]
 
 
 def align(wrapper: Wrapper, other: Wrapper) -> Wrapper:
@@ -274,7 +284,7 @@ def align(wrapper: Wrapper, other: Wrapper) -> Wrapper:
     return out
 
 
-def outside(token: int, pages: int, n: int, inside: int, edge: int, bare: bool) -> bool:
+def outside(token: int, pages: int, n: float, inside: float, edge: float, bare: bool) -> bool:
     """Whether a token that ``n`` of a site's pages have is its frame's."""
     if n < FIXED:
         return False
@@ -285,6 +295,43 @@ def outside(token: int, pages: int, n: int, inside: int, edge: int, bare: bool)
     return inside * 2 < n and n >= SHARE * pages or bare and n >= CERTAIN and n >= AMID_SHARE * pages
 
 
+#: What a place of a wrapper is: not known to be the frame's, the frame's if the line is short and the page has text of its own, and the frame's.
+UNKNOWN, BESIDE, SURE = range(3)
+
+
+def judged(wrapper: Wrapper, pages: int) -> list[int]:
+    """What each place of a site's wrapper is.
+
+    Places of which a page has but one are a token in varying order and are judged together. A place of a whole line is
+    judged apart from them if most of its pages have the line in another stretch as well; such places together if most of
+    each one's pages have it amid the text, and if not. Lines with a slot are other lines each time: theirs stay together.
+    A whole line of too few pages, in no place amid the text, is the frame's if the next places of enough pages are, on
+    both sides, or on one if there is none on the other.
+    """
+    sums: dict[tuple[int, int], list] = {}
+    kinds = [(e[0], 0 if e[0] & 3 == SLOT or e[4] * 2 <= e[1] else 1 if e[2] * 2 < e[1] else 2) for e in wrapper]
+    for k, e in zip(kinds, wrapper):
+        sums[k] = _joined(sums[k], e) if k in sums else e
+    frame = {}
+    for k, (t, n, inside, edge, again, _, bare) in sums.items():
+        # a page with two places counts once where they are judged together
+        share = 1 if k[1] else 1 - again / n / 2
+        frame[k] = outside(t, pages, n * share, inside * share, edge * share, bool(bare))
+    out = [SURE if frame[k] else UNKNOWN for k in kinds]
+    # nearest place of enough pages, first to the left, then to the right: whether it is the frame's and not amid the text
+    sides = []
+    for order in (range(len(wrapper)), range(len(wrapper) - 1, -1, -1)):
+        near, side = None, [None] * len(wrapper)
+        for i in order:
+            side[i] = near
+            if wrapper[i][1] >= CERTAIN:
+                near = out[i] == SURE and wrapper[i][2] * 2 < wrapper[i][1]
+        sides.append(side)
+    beside = [True in x and False not in x for x in zip(*sides)]
+    amid = {e[0] for e in wrapper if e[2]}
+    return [BESIDE if x and what == UNKNOWN and e[0] & 3 == WHOLE and e[0] not in amid else what for e, what, x in zip(wrapper, out, beside)]
+
+
 class Part:
     """Some pages of a site as streams of tokens."""
 
@@ -297,7 +344,11 @@ class Part:
         for _ in range(3):
             counts: dict[int, list] = {}
             for s in self.streams:
-                for t, _, inside, edge, _, bare in self.stream(s, frame):
+                seen = set()
+                for t, inside, edge, bare, _ in self.stands(s, frame):
+                    if t in seen:
+                        continue
+                    seen.add(t)
                     e = counts.get(t)
                     if e is None:
                         counts[t] = [1, inside, edge, bare]
@@ -319,35 +370,47 @@ class Part:
         return next((t for t in f if df[t] >= FIXED), f[0] if df[f[0]] > 1 else None)
 
     @staticmethod
-    def stream(lines: list[tuple[int | None, bool, bool]], frame: set[int]) -> Wrapper:
-        """A page as a wrapper of its own: each token once, with how often it is there and whether between text or at the edge.
+    def stands(lines: list[tuple[int | None, bool, bool]], frame: set[int]) -> list[tuple[int, int, int, int, list[int]]]:
+        """Where a page has its tokens, each once before, amid and after the text: with whether it is amid, whether at the
+        edge, whether it is bare, and its lines. Gaps stand where the text begins and where it ends.
 
         Text is what is no token: it begins with a sentence or title and ends with a sentence. On a page without any the
         sentences are, since the article has to be among them.
         """
         text = [(k, sentence) for k, (t, sentence, long) in enumerate(lines) if long and (t is None or t & 3 == OPENING_OF and t not in frame)]
         first, last = text[0][0] if text else -1, max((k for k, sentence in text if sentence), default=-1)
-        within = lambda k, sentence: first < k < last if last >= 0 else sentence
-        out: dict[int, list] = {}
+        out: list[tuple[int, int, int, int, list[int]]] = []
+        at: dict[tuple[int, int], list[int]] = {}
         for k, (t, sentence, _) in enumerate(lines):
+            if last >= 0 and k in (first, last):
+                out.append((GAP, 1, 0, 0, [k]))
             if t is None:
                 continue
-            if t in out:
-                out[t][4] += 1
+            stretch = int(sentence) if last < 0 else 0 if k <= first else 1 + (k >= last)
+            if (t, stretch) in at:
+                at[t, stretch].append(k)
             else:
-                out[t] = [t, 1, int(within(k, sentence)), int(k < EDGE[0] or k >= len(lines) - EDGE[1]), 1, int(not sentence)]
-        return list(out.values())
+                at[t, stretch] = [k]
+                out.append((t, int(stretch == 1), int(k < EDGE[0] or k >= len(lines) - EDGE[1]), int(not sentence), at[t, stretch]))
+        return out
+
+    @classmethod
+    def stream(cls, lines: list[tuple[int | None, bool, bool]], frame: set[int]) -> Wrapper:
+        """A page as a wrapper of its own, with gaps for its text."""
+        stands = cls.stands(lines, frame)
+        times = Counter(t for t, *_ in stands)
+        return [[t, 1, inside, edge, int(times[t] > 1), len(at), bare] for t, inside, edge, bare, at in stands]
 
     def wrapper(self) -> Wrapper:
         same = Counter(tuple(map(tuple, self.stream(s, self.frame))) for s in self.streams)
         out: Wrapper = []
         for stream, n in sorted(same.items(), key=lambda x: (-x[1], x[0])):
-            out = align(out, [[t, k * n, inside * n, edge * n, *e] for t, k, inside, edge, *e in stream])
+            out = align(out, [[t, k * n, inside * n, edge * n, again * n, *e] for t, k, inside, edge, again, *e in stream])
         return out
 
 
-_WRAPPER = "site string, part long, pages long, tokens array<long>, counts array<long>, inside array<long>, edge array<long>, times array<long>, bare array<long>"
-_COLUMNS = ("tokens", "counts", "inside", "edge", "times", "bare")
+_WRAPPER = "site string, part long, pages long, tokens array<long>, counts array<long>, inside array<long>, edge array<long>, again array<long>, times array<long>, bare array<long>"
+_COLUMNS = ("tokens", "counts", "inside", "edge", "again", "times", "bare")
 
 
 def _fold_pages(rows: pa.Table) -> pa.Table:
@@ -416,32 +479,102 @@ def token_streams(chunks: DataFrame) -> DataFrame:
     return materialize(placed.mapInArrow(_tokens, _TOKENS), "p5-tokens")
 
 
-def wrappers(streams: DataFrame) -> DataFrame:
-    """``site, pages, tokens, counts, inside, edge, times, bare``: of ``token_streams`` the wrapper of each site.
+def site_parts(streams: DataFrame) -> DataFrame:
+    """``site, parts, n_rows``: into how many parts of about ``PART`` pages each site is cut."""
+    rows = streams.filter("site is not null")
+    return materialize(rows.groupBy("site").agg(F.ceil(F.approx_count_distinct("page") / PART).cast("long").alias("parts"), F.count(F.lit(1)).alias("n_rows")), "p5-sites")
+
+
+def _placed(streams: DataFrame, sites: DataFrame) -> DataFrame:
+    rows = streams.filter("site is not null")
+    return skew_lookup(rows, sites, "site", "n_rows", F.col("page")).withColumn("part", F.pmod(F.xxhash64("page"), F.col("parts"))).drop("parts")
+
+
+def wrappers(streams: DataFrame, sites: DataFrame) -> DataFrame:
+    """``site, pages, tokens, counts, inside, edge, again, times, bare``: of ``token_streams`` the wrapper of each site.
 
-    Pages are cut into parts of about ``PART``, so a site of any size is folded in parallel; partial wrappers are merged
-    ``MERGED`` at a time until there is one of each site.
+    A site of any size is folded in parallel, by its ``site_parts``; partial wrappers are merged ``MERGED`` at a time until
+    there is one of each site.
     """
-    rows = streams.filter("site is not null").drop("cues")
-    parts = materialize(rows.groupBy("site").agg(F.ceil(F.approx_count_distinct("page") / PART).cast("long").alias("parts"), F.count(F.lit(1)).alias("n_rows")), "p5-sites")
-    placed = skew_lookup(rows, parts, "site", "n_rows", F.col("page")).withColumn("part", F.pmod(F.xxhash64("page"), F.col("parts"))).drop("parts")
+    placed = _placed(streams.drop("cues"), sites)
     found = materialize(placed.groupBy("site", "part").applyInArrow(_fold_pages, _WRAPPER), "p5-wrappers")
     while (found.agg(F.max("part")).first()[0] or 0) > 0:
         found = materialize(found.groupBy("site", F.floor(F.col("part") / MERGED)).applyInArrow(_merge_wrappers, _WRAPPER), "p5-wrappers")
     return found.drop("part")
 
 
-def outer_tokens(found: DataFrame) -> DataFrame:
-    """``h, n``: the tokens of wrappers that are the frame's and the pages that have them."""
-    each = found.select("pages", F.explode(F.arrays_zip("tokens", "counts", "inside", "edge", "bare")).alias("e"))
-    sums = each.groupBy(F.col("e.tokens").alias("h")).agg(F.max("pages").alias("pages"), F.sum("e.counts").alias("n"), F.sum("e.inside").alias("inside"), F.sum("e.edge").alias("edge"), F.max("e.bare").alias("bare"))
-    return sums.mapInArrow(_frame_tokens, "h long, n long")
+class Matcher:
+    """Looks lines of pages up in their site's wrapper."""
 
+    def __init__(self, wrapper: Wrapper, pages: int) -> None:
+        self.places = judged(wrapper, pages)
+        by_token: dict[int, Counter] = {}
+        for e, what in zip(wrapper, self.places):
+            by_token.setdefault(e[0], Counter())[what] += e[1]
+        self.known = set(by_token)
+        #: tokens that are the frame's in some place, those that aren't in every one, and of these the ones that mostly are
+        self.some = {t for t, c in by_token.items() if c[BESIDE] or c[SURE]}
+        self.mixed = {t for t in self.some if by_token[t][SURE] < by_token[t].total()}
+        self.usual = {t for t in self.mixed if by_token[t][SURE] * 2 >= by_token[t].total()}
+        self.aligner = SequenceMatcher(None, [], [e[0] for e in wrapper], autojunk=False)
+
+    def _token(self, f: tuple[int, ...]) -> int | None:
+        return next((t for t in f if t in self.some), next((t for t in f if t in self.known), None))
+
+    def lines(self, page: list[tuple[tuple[int, ...], bool, bool]]) -> list[bool]:
+        """Of each line of a page whether it is the frame's; a line's forms as in ``Part``.
+
+        Only pages with tokens that aren't the frame's in every place have to be aligned. A token that falls on no place
+        is what it mostly is. On a copy of another page, without text of its own, and of lines long enough for a sentence
+        or title only what is sure counts.
+        """
+        out = [any(t in self.some and t not in self.mixed for t in f) for f, *_ in page]
+        if not self.mixed or all(x or self.mixed.isdisjoint(f) for x, (f, *_) in zip(out, page)):
+            return out
+        lines = [(self._token(f), *x) for f, *x in page]
+        own = any(t is None and long for t, _, long in lines)
+        stands = Part.stands(lines, self.some)
+        self.aligner.set_seq1([t for t, *_ in stands])
+        place = {i + d: self.places[j + d] for i, j, n in self.aligner.get_matching_blocks() for d in range(n)}
+        for i, (t, *_, at) in enumerate(stands):
+            if t in self.mixed:
+                what = place.get(i, SURE if t in self.usual else UNKNOWN)
+                for k in at:
+                    out[k] |= what == SURE or what == BESIDE and own and not lines[k][2]
+        return out
 
-def _frame_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = [(h, n) for h, pages, n, inside, edge, bare in zip(*(c.to_pylist() for c in batch.columns)) if outside(h, pages, n, inside, edge, bool(bare))]
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in kept], pa.int64()), pa.array([n for _, n in kept], pa.int64())], ["h", "n"])
+
+_FRAME_LINES = "uid long, line_no int, by_wrapper boolean"
+
+
+def _match_pages(rows: pa.Table, found: pa.Table) -> pa.Table:
+    """The frame's lines on some pages of one site, by its wrapper and by cues."""
+    columns = [found[c][0].as_py() for c in _COLUMNS] if len(found) else [()]
+    matcher = Matcher([list(e) for e in zip(*columns)], found["pages"][0].as_py() if len(found) else 0)
+    rows = rows.combine_chunks().sort_by([("page", "ascending"), ("uid", "ascending")])
+    flat = {c: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in rows[c].chunks] or [np.zeros(0, np.int64)]) for c in ("names", "sizes", "kinds", "cues")}
+    count = {c: pc.list_value_length(rows[c]).to_numpy().astype(np.int64) for c in ("sizes", "cues")}
+    # of each line: its chunk, its number, and where its names begin and end
+    begin = np.cumsum(count["sizes"]) - count["sizes"]
+    chunk = np.repeat(np.arange(len(rows)), count["sizes"])
+    ends = np.cumsum(flat["sizes"], dtype=np.int64)
+    starts = ends - flat["sizes"]
+
+    def having(tokens: set[int]) -> np.ndarray:
+        n = np.concatenate([[0], np.cumsum(np.isin(flat["names"], np.fromiter(tokens, np.int64, len(tokens))))])
+        return n[ends] > n[starts]
+
+    own = having(matcher.some - matcher.mixed)
+    page = rows["page"].to_numpy()[chunk]
+    # only pages with tokens of unlike places are aligned
+    for p in np.unique(page[having(matcher.mixed)]).tolist():
+        at = np.flatnonzero((page == p) & (flat["sizes"] > 0))
+        own[at] = matcher.lines([(tuple(flat["names"][starts[i] : ends[i]].tolist()), bool(flat["kinds"][i] & 1), bool(flat["kinds"][i] & 2)) for i in at])
+    every = own.copy()
+    every[np.repeat(begin, count["cues"]) + flat["cues"]] = True
+    kept = np.flatnonzero(every)
+    uids, numbers = rows["uid"].to_numpy()[chunk[kept]], kept - begin[chunk[kept]]
+    return pa.table([pa.array(uids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(own[kept], pa.bool_())], ["uid", "line_no", "by_wrapper"])
 
 
 def frame_lines(chunks: DataFrame) -> DataFrame:
@@ -452,12 +585,12 @@ def frame_lines(chunks: DataFrame) -> DataFrame:
     Repeated chunks count once; an empty table gives no rows.
     """
     streams = token_streams(chunks)
-    outer = materialize(outer_tokens(wrappers(streams)), "p5-outer")
-    line_of = F.flatten(F.transform("sizes", lambda n, i: F.array_repeat(i, n)))
-    named = streams.select("uid", F.explode(F.arrays_zip(line_of.alias("line_no"), F.col("names").alias("h"))).alias("e")).select("uid", "e.line_no", "e.h")
-    by_wrapper = skew_lookup(named, outer, "h", "n", F.col("uid")).select("uid", "line_no", F.lit(True).alias("by_wrapper"))
-    by_cue = streams.select("uid", F.explode("cues").alias("line_no"), F.lit(False).alias("by_wrapper"))
-    return by_wrapper.unionByName(by_cue).groupBy("uid", "line_no").agg(F.max("by_wrapper").alias("by_wrapper"))
+    sites = site_parts(streams)
+    # a site's wrapper once for each part of its pages
+    each = wrappers(streams, sites).join(sites, "site").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts", "n_rows")
+    by_wrapper = _placed(streams, sites).groupBy("site", "part").cogroup(each.groupBy("site", "part")).applyInArrow(_match_pages, _FRAME_LINES)
+    by_cue = streams.filter("site is null").select("uid", F.explode("cues").alias("line_no"), F.lit(False).alias("by_wrapper"))
+    return by_wrapper.unionByName(by_cue)
 
 
 def boilerplate(chunks: DataFrame) -> DataFrame:
@@ -478,7 +611,8 @@ def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spelled_wrappers(chunks: DataFrame) -> DataFrame:
     """``site, pages, wrapper``: each site's wrapper as a regular expression of tokens, a line each, optional ones with
     ``?`` and repeated ones with ``+``."""
-    found = materialize(wrappers(token_streams(chunks)), "p5-wrapper")
+    streams = token_streams(chunks)
+    found = materialize(wrappers(streams, site_parts(streams)), "p5-wrapper")
     each = found.select("site", "pages", F.posexplode(F.arrays_zip("tokens", "counts", "times")).alias("at", "e")).select("site", "pages", "at", F.col("e.tokens").alias("h"), "e.counts", "e.times")
     sited = chunks.filter("uid is not null and text is not null").select(site_of(F.col("url")).alias("site"), "text").filter("site is not null")
     words = sited.mapInArrow(_spelled, "h long, token string").join(each.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.min("token").alias("token"))

@@ -87,6 +87,24 @@ def test_slots_of_wrappers(spark):
     assert p5_boilerplate.Part([]).wrapper() == [] and not p5_boilerplate.forms("  ", "x")
 
 
+def test_places_of_wrappers(spark):
+    """The same line in two places of a wrapper, and lines of few pages between the frame's: told by alignment."""
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:03}")
+    rare = lambda i: i in (20, 40)
+    page = lambda i: ["Zzq strip", *["Crumbs now"] * rare(i), "Oat lore", "Rye lore", f"How kelp {name(i)} went along with sleep", f"It was said of {name(i)} that rye sleeps.", *["Oat lore"] * (i % 8 == 0),
+            f"Then {name(i)} was left out of the sums.", *["Husks too"] * rare(i), f"Those of {name(i)} slept on and on.", "Zzq end", *["Chaff now"] * rare(i), "Zzq rim"]
+    rows = [(i, f"http://kelp.example/{i}", "\n".join(page(i))) for i in range(64)]
+    assert not any(p5_boilerplate.places(page(i), True) for i in range(64))
+    got = {(r.uid, r.line_no) for r in p5_boilerplate.frame_lines(spark.createDataFrame(rows, "uid long, url string, text string")).filter("by_wrapper").collect()}
+    frame, text = {"Zzq strip", "Crumbs now", "Rye lore", "Zzq end", "Chaff now", "Zzq rim"}, ["Oat lore"]
+    assert got == {(i, k) for i in range(64) for k, x in enumerate(page(i)) if x in frame or x in text and k < 3}
+    # a copy has no text of its own: what it alone shares with a page isn't taken for the frame's
+    strip, bran, rim = (p5_boilerplate.named("kelp.example", x) for x in ("zzq strip", "bran", "zzq rim"))
+    found = p5_boilerplate.Matcher([[strip, 64, 0, 64, 0, 1, 1], [bran, 2, 0, 2, 0, 1, 1], [rim, 64, 0, 64, 0, 1, 1]], 64)
+    copy, own = [((t,), False, False) for t in (strip, bran, rim)], ((1 << 40,), True, True)
+    assert found.lines(copy) == [True, False, True] and found.lines([*copy, own]) == [True, True, True, False]
+
+
 def _encoding():
     tiktoken = pytest.importorskip("tiktoken")
     with open(f"{p8_tokenize.TOKENIZERS}/{p8_tokenize.VOCABULARY}", "rb") as f:
